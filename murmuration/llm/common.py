@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,5 +81,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed, if the folder is there for them too."""
+    here, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = paths.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in known:
+        paths["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a narrow table (a key and few numbers) that may be broadcast: 32 MB or so.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """A written narrow table, marked for broadcast if it has BROADCAST_ROWS at most, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
