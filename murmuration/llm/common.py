@@ -1,71 +1,14 @@
-"""What the text operators share: the shared folder, written tables, document input."""
+"""What the text operators share: document input, unique keys, checked broadcasts."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is missing, as in tests on one machine, a folder of this process is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="checkpoint-")
-        atexit.register(shutil.rmtree, where, True)
-        where = f"file://{where}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-@contextmanager
-def _shuffles_end_with_query(spark: SparkSession):
-    """Within it, a query's shuffle files go when the query ends: its rows are then in a written table."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-class Scratch:
-    """Written tables of one operator run, in the shared folder.
-
-    A written table cuts lineage, survives the loss of executors and gives the same rows to every reader,
-    which matters where partition numbers enter the result.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        with _shuffles_end_with_query(self.spark):
-            df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Remove a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+from ..sources.scratch import Scratch
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -101,3 +44,19 @@ BROADCAST_ROWS = 1_000_000
 def small_or_shuffled(df: DataFrame) -> DataFrame:
     """A written narrow table, marked for broadcast if it has BROADCAST_ROWS at most, else joined by a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text and key: a number that orders rows as their ids do and that no two rows share.
+
+    That is the id itself, unless ids are null or repeat; then rows are written down and numbered in order.
+    """
+    source = texts(docs)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    odd = ids.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not odd:
+        return source.withColumn("key", F.col("doc_id"))
+    rows = scratch.write(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select("doc_id", "row").repartitionByRange(partitions(docs.sparkSession), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    numbered = scratch.write(numbered.withColumn("key", F.monotonically_increasing_id()).select("row", "key"), "numbered")
+    return rows.join(numbered, "row").drop("row")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Links at most (3 MB or so) that one task works on without any shuffle; more are spread over the cluster.
+ONE_TASK_LINKS = 200_000
+
 
 def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -29,14 +32,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     state, step = _state(edges), 0
     while state[0]:
         step += 1
+        # the rounds add no links: small-star makes one of each, large-star at most
+        few = state[0] <= ONE_TASK_LINKS
+        edges = edges.coalesce(1) if few else edges
+        keep = (lambda df, _: df) if few else (lambda df, part: scratch.write(df, f"{name}-{step}-{part}"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = scratch.write(_nearest(both).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-near")
+        both = both.coalesce(1) if few else both
+        nearest = keep(_nearest(both).select("u", F.least("u", "m").alias("m")), "near")
         large = both.filter("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(large, f"{name}-{step}-large")
-        nearest = scratch.write(_nearest(large), f"{name}-{step}-small-near")
+        large = keep(large, "large")
+        nearest = keep(_nearest(large), "small-near")
         small = large.join(nearest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct()
-        edges = scratch.write(small, f"{name}-{step}")
+        small = small.unionByName(nearest.select("u", F.col("m").alias("v")))
+        edges = scratch.write((small.coalesce(1) if few else small).distinct(), f"{name}-{step}")
         before, state = state, _state(edges)
         if state == before:
             break

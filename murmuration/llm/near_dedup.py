@@ -19,15 +19,13 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Equal minima that a pair needs before its sets are compared: six standard deviations below those of a pair at 0.85.
-LEAST_EQUAL = 60
 _RNG = np.random.default_rng(97)
 _MULTIPLY = _RNG.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, HASHES, np.uint64)
 _ROWS_AT_ONCE = 2048
 
 _SKETCH = "doc_id long, n long, digest binary, minima array<int>"
-_BANDS = "band long, rep long, n long, minima array<int>"
+_BANDS = "band long, rep long"
 _SET = "doc_id long, shingles array<long>"
 
 
@@ -80,14 +78,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.select("a", "b", "shared", (F.col("sizes") - F.col("shared")).alias("either"))
 
 
+def _linkable(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Classes that can have a link, with `common`: how many of their shingles some other candidate has too.
+
+    A link shares percent / 100 of the larger set at least, and can only share common shingles. Near copies that were
+    changed in many places, each in its own way, fail this at once, whatever the number of them.
+    """
+    shingles = sets.select("doc_id", F.explode("shingles").alias("s"))
+    owners = shingles.groupBy("s").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("rep = other")
+    alone = owners.groupBy("rep").agg(F.count("*").alias("alone"))
+    asked = classes.join(sets.select(F.col("doc_id").alias("rep")), "rep", "left_semi").join(alone, "rep", "left")
+    counted = asked.select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"), "minima")
+    return counted.filter(F.col("common") * 100 >= F.col("n") * percent)
+
+
+def _least_equal(percent: int) -> int:
+    """Equal minima that a pair needs before its sets are compared: six standard deviations below those at the threshold."""
+    p = percent / 100
+    return int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The component of near-equal texts of each row, over sets of 5-word shingles.
 
     Documents with one shingle set form a class, of which the smallest id stands for all. Classes that share a band of
-    minima are candidates. In each bucket all members are first compared with the smallest; that joins most copies, at a
-    cost in proportion to the bucket. Then, in buckets that still hold several components, the pairs across components
-    are compared too, if sizes, the triangle inequality over their distances from the bucket's smallest, and the number
-    of equal minima allow a link. Each link is confirmed on the full sets, and none between different texts is left out
+    minima are candidates; those with too many shingles that no other candidate has leave. In each bucket all members are
+    first compared with the smallest; that joins most copies, at a cost in proportion to the bucket. Then, in buckets that
+    still hold several components, the pairs across components are compared too, if sizes, shared shingles, the triangle
+    inequality over their distances from the bucket's smallest, and the number of equal minima allow a link. Each link is confirmed on the full sets, and none between different texts is left out
     but by the chance that BANDS states. Components come from large-star and small-star.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than five words has its whole sequence as
@@ -103,15 +121,18 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.count("*").alias("size"))
     classes = scratch.write(classes, "classes")
 
-    bands = scratch.write(classes.select("rep", "minima").mapInArrow(_bands, "band long, rep long"), "bands")
-    buckets = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    buckets = scratch.write(buckets.select("band", "pivot"), "buckets")
-    members = scratch.write(bands.join(buckets, "band").select("band", "pivot", "rep"), "members")
+    bands = scratch.write(classes.select("rep", "minima").mapInArrow(_bands, _BANDS), "bands")
+    buckets = scratch.write(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"), "buckets")
+    asked = scratch.write(bands.join(buckets, "band", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "asked")
     scratch.drop("bands")
-
-    asked = scratch.write(members.select(F.col("rep").alias("doc_id")).distinct(), "asked")
     full = texts(docs).join(small_or_shuffled(asked), "doc_id", "left_semi").mapInArrow(_sets, _SET)
     sets = scratch.write(full, "sets")
+    live = scratch.write(_linkable(classes, sets, percent), "live")
+
+    bands = scratch.write(live.select("rep", "minima").mapInArrow(_bands, _BANDS), "live-bands")
+    buckets = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    buckets = scratch.write(buckets.select("band", "pivot"), "live-buckets")
+    members = scratch.write(bands.join(buckets, "band").select("band", "pivot", "rep"), "members")
 
     star = members.filter("pivot != rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.write(_verified(star, sets), "star")
@@ -126,19 +147,20 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = scratch.write(placed, "placed")
     open_buckets = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     open_buckets = scratch.write(open_buckets.filter("low != high AND size > 2").select("band"), "open")
-    sizes = classes.select("rep", "n", "minima")
-    waiting = scratch.write(placed.join(open_buckets, "band").join(sizes, "rep").select("band", "rep", "far", "component", "n", "minima"), "waiting")
+    waiting = placed.join(open_buckets, "band").join(live, "rep")
+    waiting = scratch.write(waiting.select("band", "rep", "far", "component", "n", "common", "minima"), "waiting")
 
     def side(suffix: str) -> DataFrame:
-        return waiting.select("band", *(F.col(c).alias(f"{c}_{suffix}") for c in ("rep", "far", "component", "n", "minima")))
+        return waiting.select("band", *(F.col(c).alias(f"{c}_{suffix}") for c in ("rep", "far", "component", "n", "common", "minima")))
 
     agree = F.size(F.filter(F.zip_with("minima_a", "minima_b", lambda x, y: x == y), lambda same: same))
     allowed = (
         (F.col("rep_a") < F.col("rep_b"))
         & (F.col("component_a") != F.col("component_b"))
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (F.least("common_a", "common_b") * 100 >= (F.col("n_a") + F.col("n_b") - F.least("common_a", "common_b")) * percent)
         & (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9)
-        & (agree >= LEAST_EQUAL)
+        & (agree >= _least_equal(percent))
     )
     left, right = side("a"), side("b")
     across = left.join(right, (left.band == right.band) & allowed).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()

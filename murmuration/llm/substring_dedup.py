@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, texts
+from .common import Scratch, keyed, partitions
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 100
@@ -255,22 +255,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], digests], names=[*b.schema.names[:4], "kept_sha256"])
 
 
-def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text and key: a number that orders rows as their ids do and that no two rows share.
-
-    That is the id itself, unless ids are null or repeat; then rows are written down and numbered in order.
-    """
-    source = texts(docs)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    odd = ids.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
-    if not odd:
-        return source.withColumn("key", F.col("doc_id"))
-    rows = scratch.write(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    numbered = rows.select("doc_id", "row").repartitionByRange(partitions(docs.sparkSession), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    numbered = scratch.write(numbered.withColumn("key", F.monotonically_increasing_id()).select("row", "key"), "numbered")
-    return rows.join(numbered, "row").drop("row")
-
-
 def _repeated_spans(source: DataFrame, scratch: Scratch) -> DataFrame:
     spark = source.sparkSession
     places = scratch.write(source.select("key", "text").mapInArrow(_places, _PLACES), "places")
@@ -288,7 +272,7 @@ def _repeated_spans(source: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substrings")
-    source = _keyed(docs, scratch)
+    source = keyed(docs, scratch)
     spans = _repeated_spans(source, scratch).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return source.join(spans, "key", "left").select("doc_id", "text", "spans")
 
