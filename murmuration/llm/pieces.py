@@ -168,7 +168,7 @@ class Encoder:
         normalised, source = self.normalise(text)
         widths = self.width[ids]
         if self.unknown >= 0 and (ids[1:-1] == self.unknown).any():
-            proto = self.library.encode(string, out_type="immutable_proto")
+            proto = self.library.encode(string, return_type="proto")
             widths[1:-1] = [len(p.piece.encode()) if p.id == self.unknown else w for p, w in zip(proto.pieces, widths[1:-1], strict=True)]
         places = np.cumsum(widths)
         if places[-1] != len(normalised):
