@@ -8,13 +8,39 @@ from pyspark.sql import functions as F
 MODULUS = 2147483647
 
 
+def _mixed(key):
+    """Two rounds of a multiplication and a square modulo a prime, all within 64 bits.
+
+    The squares matter: without them draws of one agent, or of neighbouring ids, would differ by constants. Works on columns
+    and, through _Text, on SQL text alike.
+    """
+    a = key % MODULUS * 48271 % MODULUS
+    b = (a * a + 12345) % MODULUS
+    c = (b * 69621 + a) % MODULUS
+    return (c * c + b) % MODULUS
+
+
+class _Text(str):
+    """SQL text with the operators that _mixed() needs."""
+
+    def _with(self, sign: str, other) -> _Text:
+        return _Text(f"({self} {sign} {other})")
+
+    def __mul__(self, other):
+        return self._with("*", other)
+
+    def __mod__(self, other):
+        return self._with("%", other)
+
+    def __add__(self, other):
+        return self._with("+", other)
+
+
 def draw(agent: Column | str, tick: int | Column, number: int, seed: int = 42) -> Column:
-    """An integer in [0, MODULUS) for an agent id of zero or more; two rounds of a linear congruence, within 64 bits."""
+    """An integer in [0, MODULUS) for an agent id of zero or more."""
     agent = F.col(agent) if isinstance(agent, str) else agent
     tick = tick if isinstance(tick, Column) else F.lit(tick)
-    key = agent * 1103 + tick * 7919 + (number * 104729 + seed * 31)
-    first = (key % MODULUS * 48271) % MODULUS
-    return (first * 69621 + 12345) % MODULUS
+    return _mixed(agent.cast("long") * 1103 + tick * 7919 + (number * 104729 + seed * 31))
 
 
 def uniform(agent: Column | str, tick: int | Column, number: int, seed: int = 42) -> Column:
@@ -29,8 +55,7 @@ def below(n: int | Column, agent: Column | str, tick: int | Column, number: int,
 
 def draw_sql(agent: str, tick: str | int, number: int, seed: int = 42) -> str:
     """draw() as SQL text, for engines that share integer arithmetic."""
-    key = f"(({agent}) * 1103 + ({tick}) * 7919 + {number * 104729 + seed * 31})"
-    return f"((({key} % {MODULUS} * 48271) % {MODULUS}) * 69621 + 12345) % {MODULUS}"
+    return str(_mixed(_Text(f"(CAST({agent} AS BIGINT) * 1103 + ({tick}) * 7919 + {number * 104729 + seed * 31})")))
 
 
 def uniform_sql(agent: str, tick: str | int, number: int, seed: int = 42) -> str:

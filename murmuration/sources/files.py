@@ -60,7 +60,7 @@ def write_log(log: DataFrame, path: str, order: list[str], delimiter: str = ",")
     For logs, a row for each tick; tables that grow with the agents are for append_log().
     """
     out = free_path(log.sparkSession, path)
-    log.orderBy(*order).coalesce(1).write.csv(out, header=True, sep=delimiter)
+    log.repartition(1).sortWithinPartitions(*order).write.csv(out, header=True, sep=delimiter)
     return out
 
 

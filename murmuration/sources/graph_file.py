@@ -17,8 +17,11 @@ def _tokens(line: str | Column = "line") -> Column:
     return F.regexp_extract_all(line, F.lit(TOKEN), F.lit(1))
 
 
-def _checked(good: Column, value: Column, message: str) -> Column:
-    return F.when(good, value).otherwise(F.raise_error(F.concat(F.lit(message), F.col("line"))).cast("string"))
+def _checked(section: Column, good: Column, value: Column, message: str) -> Column:
+    """value, or an error for a malformed line of the section. The section is part of the expression: filters on the value
+    that Spark derives from later joins may run before the lines of other sections are left out."""
+    error = F.raise_error(F.concat(F.lit(message), F.col("line"))).cast("string")
+    return F.when(section & good, value).when(section, error)
 
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,20 +37,23 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n, t = F.size("t"), F.col("t")
     ends_in_object = lambda k: F.get(t, F.lit(k)).startswith("{")
 
-    header = placed.filter("line_no = first").select(
-        _checked(n == 2, t[0], "not a graph header: ").alias("name"),
-        _checked((n == 2) & F.get(t, F.lit(1)).rlike(r"^-?\d+$"), F.get(t, F.lit(1)), "not a graph header: ").cast("int").cast("boolean").alias("directed"),
+    in_header = F.col("line_no") == F.col("first")
+    header = placed.filter(in_header).select(
+        _checked(in_header, n == 2, t[0], "not a graph header: ").alias("name"),
+        _checked(in_header, (n == 2) & F.get(t, F.lit(1)).rlike(r"^-?\d+$"), F.get(t, F.lit(1)), "not a graph header: ").cast("int").cast("boolean").alias("directed"),
     )
     node_ok = ((n == 3) | ((n == 4) & ends_in_object(3))) & ~ends_in_object(2)
-    nodes = placed.filter("line_no > first AND (mark IS NULL OR line_no < mark)").select(
-        _checked(node_ok, t[0], "not a node line: ").cast("long").alias("id"),
+    in_nodes = (F.col("line_no") > F.col("first")) & (F.col("mark").isNull() | (F.col("line_no") < F.col("mark")))
+    nodes = placed.filter(in_nodes).select(
+        _checked(in_nodes, node_ok, t[0], "not a node line: ").cast("long").alias("id"),
         F.get(t, F.lit(1)).cast("int").alias("type"),
         F.get(t, F.lit(2)).cast("int").alias("rank"),
         F.from_json(F.get(t, F.lit(3)), _ATTRIBUTES).alias("attrs"),
     )
     edge_ok = ((n == 2) | ((n == 3) & ends_in_object(2))) & ~ends_in_object(1)
-    edges = placed.filter("line_no > mark").select(
-        _checked(edge_ok, t[0], "not an edge line: ").cast("long").alias("u"),
+    in_edges = F.coalesce(F.col("line_no") > F.col("mark"), F.lit(False))
+    edges = placed.filter(in_edges).select(
+        _checked(in_edges, edge_ok, t[0], "not an edge line: ").cast("long").alias("u"),
         F.get(t, F.lit(1)).cast("long").alias("v"),
         F.from_json(F.get(t, F.lit(2)), _ATTRIBUTES).alias("attrs"),
     )
@@ -98,4 +104,5 @@ def write_network(name: str, network: Network, path: str, n_ranks: int, method:
     if method != "random":
         raise ValueError(f"no partition method {method!r}")
     lines = network_lines(name, network, network.random_parts(n_ranks, seed))
-    lines.orderBy("section", "a", "b").select("line").coalesce(1).write.text(path)
+    # a sort before coalesce() may be dropped; the format asks for one file, whose sort can spill
+    lines.repartition(1).sortWithinPartitions("section", "a", "b").select("line").write.text(path)
