@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from pathlib import Path
 
@@ -95,11 +96,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
 }
 
+_LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+
+
+def _words_sql(table: str, key: str) -> str:
+    """The words of each text, as a list."""
+    split = f"string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]+')"
+    return f"SELECT {key}, list_filter({split}, lambda w: w <> '') AS words FROM {table}"
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    """The distinct runs of five words of each text; of fewer words, the one run of all."""
+    five = "list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))"
+    runs = f"CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE {five} END"
+    return f"SELECT DISTINCT {key}, unnest({runs}) AS shingle FROM ({_words_sql(table, key)})"
+
+
+_CONTROL_SQL = r"(<s>|</s>|\[INST\]|\[/INST\]|<part:)"
+
+
+def _escaped_length_sql(text: str) -> str:
+    return f"len(replace({text}, '\\', '\\\\')) + len(regexp_extract_all({text}, '{_CONTROL_SQL}'))"
+
+
 #: What DuckDB can run on whole tables in reasonable time.
 ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH d AS MATERIALIZED ({_shingles_sql("documents", "doc_id")}), i AS MATERIALIZED ({_shingles_sql("benchmark", "item_id")}),
+        n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1),
+        m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (shingle) GROUP BY 1, 2)
+        SELECT doc_id, item_id, n_item, n_shared FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item""",
     "op5_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    "op7_chat_formatting": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(20 + {_escaped_length_sql("role")} + {_escaped_length_sql("text")}) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op10_minhash": f"""
+        WITH RECURSIVE s AS MATERIALIZED ({_shingles_sql("documents", "doc_id")}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+        c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
