@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, texts
-from .shingles import WORDS, shingle_hashes, slices, word_hashes
+from .shingles import WORDS, shingle_hashes, slices, values, word_hashes
 
 #: An item is found in a document that has this share of its shingles, in percent.
 PERCENT = 80
@@ -105,7 +105,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _search(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, at, rows = b.column("doc_id").to_pylist(), 0, []
-        for part in slices(b.column("text").to_pylist()):
+        for part in slices(values(b.column("text"))):
             words, firsts = word_hashes(part)
             for width, of_width in index.value.items():
                 rows += [(ids[at + t], *rest) for t, *rest in of_width.find(words, firsts, width)]

@@ -17,7 +17,7 @@ BUCKETS = 1 << 15
 TRAIN_DOCS = 4000
 #: Languages at most, so that the matrix that every task gets stays under 64 MB.
 MAX_LANGUAGES = 500
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _WEIGHTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters = None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_or_shuffled, texts
 from .components import components
-from .shingles import shingle_sets
+from .shingles import shingle_sets, values
 
 #: With 24 bands of 4 minima, a pair at similarity 0.85 is missed with a chance of 2e-8.
 BANDS, ROWS = 24, 4
@@ -25,7 +25,7 @@ _ADD = _RNG.integers(0, 1 << 64, HASHES, np.uint64)
 _ROWS_AT_ONCE = 2048
 
 _SKETCH = "doc_id long, n long, digest binary, minima array<int>"
-_BANDS = "band long, rep long"
+_BANDS = "band long, number int, rep long"
 _SET = "doc_id long, shingles array<long>"
 
 
@@ -40,7 +40,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, digest, flat = [], [], []
-        for s in shingle_sets(b.column("text").to_pylist()):
+        for s in shingle_sets(values(b.column("text"))):
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             flat.append(minima(s))
@@ -57,12 +57,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = (keys ^ values[:, :, j]) * np.int64(0x5851F42D4C957F2D) + np.int64(j + 1)
             keys ^= (keys >> 29) & np.int64(0x7FFFFFFFF)
         row = np.repeat(np.arange(b.num_rows), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), b.column("rep").take(pa.array(row))], names=["band", "rep"])
+        number = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(number), b.column("rep").take(pa.array(row))], names=["band", "number", "rep"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = list(shingle_sets(b.column("text").to_pylist()))
+        found = list(shingle_sets(values(b.column("text"))))
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "shingles"])
@@ -132,7 +133,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bands = scratch.write(live.select("rep", "minima").mapInArrow(_bands, _BANDS), "live-bands")
     buckets = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     buckets = scratch.write(buckets.select("band", "pivot"), "live-buckets")
-    members = scratch.write(bands.join(buckets, "band").select("band", "pivot", "rep"), "members")
+    members = scratch.write(bands.join(buckets, "band").select("band", "number", "pivot", "rep"), "members")
 
     star = members.filter("pivot != rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.write(_verified(star, sets), "star")
@@ -143,17 +144,23 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # what each member of a bucket brings to the comparison across components
     far = star.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("either")).alias("far"))
     placed = members.join(far, ["pivot", "rep"], "left").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("band", "rep", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "rep").alias("component"))
+    placed = placed.select("band", "number", "rep", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "rep").alias("component"))
     placed = scratch.write(placed, "placed")
     open_buckets = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     open_buckets = scratch.write(open_buckets.filter("low != high AND size > 2").select("band"), "open")
     waiting = placed.join(open_buckets, "band").join(live, "rep")
-    waiting = scratch.write(waiting.select("band", "rep", "far", "component", "n", "common", "minima"), "waiting")
+    waiting = scratch.write(waiting.select("band", "number", "rep", "far", "component", "n", "common", "minima"), "waiting")
 
     def side(suffix: str) -> DataFrame:
-        return waiting.select("band", *(F.col(c).alias(f"{c}_{suffix}") for c in ("rep", "far", "component", "n", "common", "minima")))
-
-    agree = F.size(F.filter(F.zip_with("minima_a", "minima_b", lambda x, y: x == y), lambda same: same))
+        return waiting.select("band", "number", *(F.col(c).alias(f"{c}_{suffix}") for c in ("rep", "far", "component", "n", "common", "minima")))
+
+    left, right = side("a"), side("b").drop("number")
+    left_number = F.col("number")
+    same = F.zip_with("minima_a", "minima_b", lambda x, y: x == y)
+    agree = F.size(F.filter(same, lambda x: x))
+    whole_band = lambda j: F.forall(F.slice(same, j * ROWS + 1, F.lit(ROWS)), lambda x: x)
+    # a pair comes out of the first of the bands that it shares
+    later = F.when(left_number > 0, F.exists(F.sequence(F.lit(0), left_number - 1), whole_band)).otherwise(False)
     allowed = (
         (F.col("rep_a") < F.col("rep_b"))
         & (F.col("component_a") != F.col("component_b"))
@@ -161,17 +168,19 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         & (F.least("common_a", "common_b") * 100 >= (F.col("n_a") + F.col("n_b") - F.least("common_a", "common_b")) * percent)
         & (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9)
         & (agree >= _least_equal(percent))
+        & ~later
     )
-    left, right = side("a"), side("b")
     across = left.join(right, (left.band == right.band) & allowed).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     across = scratch.write(across, "across")
     more = _verified(across, sets).filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     # the star's components stand in for its links
     trees = known.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = scratch.write(components(trees.unionByName(more), scratch, "all-components"), "final")
+    scratch.drop("sets")
 
     shared = scratch.write(classes.filter("size > 1").select("digest", "rep"), "shared")
-    rows = sketch.select("doc_id", "n", "digest").join(shared, "digest", "left")
+    # a row without an id has no class
+    rows = sketch.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(shared, "digest", "left")
     rows = rows.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node")).join(final, "node", "left")
     component = F.coalesce("component", "node")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

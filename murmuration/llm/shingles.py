@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 WORDS = 5
-SLICE_BYTES = 1 << 22
+#: Bytes worked on at a time; a task needs about 60 times that.
+SLICE_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _PLACE = _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
@@ -79,19 +80,25 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, width: int = WORDS) ->
     return mix(runs[keep]), np.concatenate([[0], np.cumsum(per_text)])
 
 
-def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Runs of whole texts of SLICE_BYTES at most, or one longer text."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t) + 1 > SLICE_BYTES:
-            yield texts[first:i]
-            first, size = i, 0
+def slices(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Runs of whole texts of SLICE_BYTES at most, or one longer text, taken from texts as needed."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) + 1 > SLICE_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(t)
         size += len(t) + 1
-    if first < len(texts):
-        yield texts[first:]
+    if part:
+        yield part
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+def values(column) -> Iterator[bytes]:
+    """The values of an Arrow column one by one: a batch is not turned into Python objects as a whole."""
+    return (v.as_py() for v in column)
+
+
+def shingle_sets(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text."""
     for part in slices(texts):
         hashes, firsts = shingle_hashes(*word_hashes(part))

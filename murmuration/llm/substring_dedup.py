@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, keyed, partitions
+from .shingles import values
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 32
 #: Grams in a window of LENGTH bytes.
 _GRAMS = LENGTH - GRAM + 1
-SLICE_BYTES = 1 << 22
-_PLACE_BITS = 23
+SLICE_BYTES = 1 << 20
+_PLACE_BITS = 21
 #: Bytes of a shard's text; a group of strings with one minimizer is never parted, so a shard can be larger.
 SHARD_BYTES = 1 << 20
 _RNG = np.random.default_rng(32)
@@ -26,7 +27,7 @@ _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _STEP = _RNG.integers(0, 1 << 64, 8, np.uint64) | np.uint64(1)
 
 _PLACES = "gram long, key long, n long"
-_CUT = "gram long, string binary, key long, start long, known boolean"
+_CUT = "gram long, string binary, at int, key long, start long, known boolean"
 _SPANS = "key long, start long, stop long"
 
 
@@ -42,7 +43,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _minimizers(data: np.ndarray, first: np.ndarray, size: np.ndarray):
-    """Runs of windows with one minimizer: (text, first window, windows, gram hash), for texts laid end to end.
+    """Runs of windows with one minimizer: (text, first window, windows, gram hash, gram's place from the first window), for
+    texts laid end to end.
 
     The minimizer of a window is its gram with the smallest hash, the leftmost of equal ones, so equal windows have it at
     the same place and with the same hash.
@@ -73,7 +75,7 @@ def _minimizers(data: np.ndarray, first: np.ndarray, size: np.ndarray):
     held = inside[starts]
     starts, stops = starts[held], stops[held]
     text = np.searchsorted(first, starts, "right") - 1
-    return text, starts, stops - starts, hashes[place[starts]].view(np.int64)
+    return text, starts, stops - starts, hashes[place[starts]].view(np.int64), place[starts] - starts
 
 
 def _runs(batch: pa.RecordBatch):
@@ -86,7 +88,7 @@ def _runs(batch: pa.RecordBatch):
         first = np.cumsum(lengths) - lengths
         return data, np.array(rows), first, _minimizers(data, first, lengths)
 
-    for i, text in enumerate(batch.column("text").to_pylist()):
+    for i, text in enumerate(values(batch.column("text"))):
         for at in range(0, max(1, len(text) - LENGTH + 1), SLICE_BYTES):
             # a longer text in pieces that share LENGTH - 1 bytes, so that each window lies in one
             piece = text[at : at + SLICE_BYTES + LENGTH - 1]
@@ -106,7 +108,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each minimizer occurs in each document."""
     for b in batches:
         keys = b.column("key").to_numpy()
-        for _, rows, _, (text, _, _, gram) in _runs(b):
+        for _, rows, _, (text, _, _, gram, _) in _runs(b):
             pairs = np.stack([rows[text, 0], gram], 1)
             pairs = pairs[np.lexsort((gram, pairs[:, 0]))]
             new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]) if len(pairs) else np.zeros(0, bool)
@@ -123,35 +125,64 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, shared = b.column("key").to_numpy(), [np.sort(np.array(x, np.int64)) for x in b.column("grams").to_pylist()]
         first_place: dict[bytes, tuple] = {}
         known: list[tuple[int, int, int]] = []
-        for data, rows, first, (text, start, windows, gram) in _runs(b):
+        for data, rows, first, (text, start, windows, gram, at) in _runs(b):
             raw = data.tobytes()
             wanted = np.zeros(len(gram), bool)
             edge = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 wanted[a:z] = np.isin(gram[a:z], shared[rows[text[a], 0]])
-            for t, s, w, g in zip(text[wanted].tolist(), start[wanted].tolist(), windows[wanted].tolist(), gram[wanted].tolist(), strict=True):
+            for t, s, w, g, o in zip(*(x[wanted].tolist() for x in (text, start, windows, gram, at)), strict=True):
                 string = raw[s : s + w + LENGTH - 1]
                 place = (int(keys[rows[t, 0]]), int(s - first[t] + rows[t, 1]))
-                other = first_place.setdefault(string, (*place, g))
+                other = first_place.setdefault(string, (*place, g, o))
                 if other[:2] != place:
                     if place < other[:2]:
-                        first_place[string], place = (*place, g), other[:2]
+                        first_place[string], place = (*place, g, o), other[:2]
                     known.append((*place, len(string)))
         strings = list(first_place)
-        key, start, gram = zip(*first_place.values(), strict=True) if strings else ((), (), ())
+        key, start, gram, at = zip(*first_place.values(), strict=True) if strings else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(gram, pa.int64()), pa.array(strings, pa.binary()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array([False] * len(strings))],
-            names=["gram", "string", "key", "start", "known"],
+            [pa.array(gram, pa.int64()), pa.array(strings, pa.binary()), pa.array(at, pa.int32()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array([False] * len(strings))],
+            names=["gram", "string", "at", "key", "start", "known"],
         )
         if known:
             key, start, size = zip(*known, strict=True)
             # for a known span the gram column holds the length
             yield pa.RecordBatch.from_arrays(
-                [pa.array(size, pa.int64()), pa.nulls(len(known), pa.binary()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array([True] * len(known))],
-                names=["gram", "string", "key", "start", "known"],
+                [pa.array(size, pa.int64()), pa.nulls(len(known), pa.binary()), pa.nulls(len(known), pa.int32()), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array([True] * len(known))],
+                names=["gram", "string", "at", "key", "start", "known"],
             )
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "little") ^ int.from_bytes(b[:n], "little")
+    return ((differ & -differ).bit_length() - 1) >> 3 if differ else n
+
+
+def _furthest(parts: list[bytes]) -> list[int]:
+    """For each part, the longest prefix that it shares with another."""
+    out, order = [0] * len(parts), sorted(range(len(parts)), key=parts.__getitem__)
+    for i, j in zip(order[:-1], order[1:], strict=True):
+        n = _common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def shared_parts(strings: list[bytes], ats: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(string, begin, end): what strings with one minimizer, at the given places, can share with another of them.
+
+    An equal window of two strings has the minimizer at one place, so it ends where their texts from the minimizer on
+    part, and begins where those before it do, read backwards. Strings that share less than LENGTH in all are left out.
+    """
+    right = _furthest([s[at:] for s, at in zip(strings, ats, strict=True)])
+    left = _furthest([s[:at][::-1] for s, at in zip(strings, ats, strict=True)])
+    for i, (at, r, n) in enumerate(zip(ats, right, left, strict=True)):
+        if r + n >= LENGTH:
+            yield i, at - n, at + r
+
+
 def repeated_windows(strings: list[bytes], places: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
     """Spans (key, start, stop) of the strings that are covered by windows of LENGTH bytes occurring at an earlier place too.
 
@@ -191,15 +222,17 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(spans):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans, strict=True)], names=["key", "start", "stop"])
 
-    gram, last, strings, places, shard, shard_places, size, spans = None, None, [], [], [], [], 0, []
+    gram, last, strings, ats, places, shard, shard_places, size, spans = None, None, [], [], [], [], [], 0, []
 
     def close_group():
         nonlocal size
         if len(strings) > 1:  # one string by itself repeats nothing
-            shard.extend(strings)
-            shard_places.extend(places)
-            size += sum(map(len, strings))
+            for i, begin, end in shared_parts(strings, ats):
+                shard.append(strings[i][begin:end])
+                shard_places.append((places[i][0], places[i][1] + begin))
+                size += end - begin
         strings.clear()
+        ats.clear()
         places.clear()
 
     def close_shard():
@@ -211,7 +244,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
 
     for b in batches:
-        for g, string, key, start in zip(*(b.column(c).to_pylist() for c in ("gram", "string", "key", "start")), strict=True):
+        for g, string, at, key, start in zip(*(b.column(c).to_pylist() for c in ("gram", "string", "at", "key", "start")), strict=True):
             if g != gram:
                 close_group()
                 if size >= SHARD_BYTES:
@@ -222,6 +255,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 last = string
                 strings.append(string)
+                ats.append(at)
                 places.append((key, start))
         if spans:
             yield emit(spans)
@@ -263,8 +297,8 @@ def _repeated_spans(source: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = scratch.write(wanted, "wanted")
     scratch.drop("places")
     cut = scratch.write(source.select("key", "text").join(wanted, "key").select("key", "text", "grams").mapInArrow(_cut, _CUT), "cut")
-    order = ("gram", "string", "key", "start")
-    strings = cut.filter("NOT known").select(*order).repartition(partitions(spark), "gram").sortWithinPartitions(*order)
+    strings = cut.filter("NOT known").drop("known").repartition(partitions(spark), "gram")
+    strings = strings.sortWithinPartitions("gram", "string", "key", "start")
     found = scratch.write(strings.mapInArrow(_spans, _SPANS), "spans")
     known = cut.filter("known").select("key", "start", (F.col("start") + F.col("gram")).alias("stop"))
     return found.unionByName(known)
