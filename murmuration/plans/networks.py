@@ -149,6 +149,12 @@ def _(v: Views):
     return v.ring().reached(v.spark.createDataFrame([(1,)], "id long"), 6, scratch.write)
 
 
+@query("net_bfs_all")
+def _(v: Views):
+    scratch = Scratch(v.spark, "bfs-all")
+    return v.ring().reached(v.spark.createDataFrame([(1,)], "id long"), keep=scratch.write)
+
+
 @query("bernoulli_edges", with_views(f"SELECT src, dst FROM ring WHERE {uniform_sql('src * 1000003 + dst', 1, 0)} <= 0.3", "ring"))
 def _(v: Views):
     return v.ring().edges.filter(uniform(F.col("src") * 1000003 + F.col("dst"), 1, 0) <= 0.3)

@@ -46,6 +46,22 @@ def test_neighbours_and_search(spark):
     assert {r.id: r.level for r in n.reached(seeds, 1, keep=keep).collect()} == {1: 0, 2: 1, 3: 1}
 
 
+def test_registered_search_reaches_every_level(spark, tmp_path):
+    from murmuration.plans.catalog import QUERIES
+    from murmuration.plans.views import Views
+
+    spark.range(1, 301).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    nexts = {}
+    for r in Views(spark, str(tmp_path)).ring().edges.collect():
+        nexts.setdefault(r.src, []).append(r.dst)
+    levels, front = {1: 0}, [1]
+    while front:
+        front = [b for a in front for b in nexts.get(a, []) if levels.setdefault(b, levels[a] + 1) == levels[a] + 1]
+        front = list(dict.fromkeys(b for b in front if b not in levels or levels[b] == max(levels.values())))
+    got = {r.id: r.level for r in QUERIES["net_bfs_all"](spark, str(tmp_path)).collect()}
+    assert got == levels and max(levels.values()) > 6
+
+
 def test_parts_are_even(spark):
     n = net(spark, [(i, i + 1, 0.0) for i in range(59)])
     for k, sizes in ((3, [20, 20, 20]), (7, [8, 8, 8, 9, 9, 9, 9])):
