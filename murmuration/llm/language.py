@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -18,7 +17,6 @@ TRAIN_DOCS = 4000
 #: Languages at most, so that the matrix that every task gets stays under 64 MB.
 MAX_LANGUAGES = 500
 SLICE_CHARS = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
 _WEIGHTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters = None
 
@@ -86,8 +84,8 @@ class LanguageModel:
     matrix: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its posterior; 'und' and 0 where there is no letter."""
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        """The likeliest language of each text and its posterior; 'und' and 0 where there is no letter, hence no gram."""
+        known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.languages else []
         out, score = ["und"] * len(texts), np.zeros(len(texts))
         for first, part in _slices([texts[i] for i in known]):
             grams, starts = _grams(part)

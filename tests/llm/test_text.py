@@ -252,6 +252,16 @@ def test_language(frame):
     assert language.identify(frame([(1, LONG)]), language.train(docs)).first().score >= 0
 
 
+def test_numerals_that_are_no_letters_are_und(frame):
+    docs = frame([(i, "the house" if i % 2 else "das haus") for i in range(40)], lang=lambda i: "en" if i % 2 else "de")
+    model = language.train(docs)
+    for odd in ("\u00b2", "\u00bd \u00be", "\u2460\u2461", "1\u00b2_"):
+        langs, scores = model.predict(["the house", odd, "the house", odd])
+        assert langs == ["en", "und", "en", "und"] and scores[1] == scores[3] == 0
+    # letters among them count
+    assert model.predict(["\u00b2 the house"])[0] == ["en"]
+
+
 # --- chat ---
 
 
