@@ -33,7 +33,7 @@ _FOUND = "doc_id long, item_id long, n_item long, n_shared long"
 class WidthIndex:
     """Items of one shingle width: their sets, and which shingles are minima of which items, how often."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     sets: list[np.ndarray]
     hashes: np.ndarray  # of each item, by its size class
     keys: np.ndarray  # sorted shingles that are a minimum
@@ -43,7 +43,7 @@ class WidthIndex:
     filter: np.ndarray
 
     @classmethod
-    def build(cls, items: list[tuple[int, np.ndarray]]) -> WidthIndex:
+    def build(cls, items: list[tuple[int | None, np.ndarray]]) -> WidthIndex:
         keys, owners, weights, hashes = [], [], [], []
         for k, (_, s) in enumerate(items):
             n = int(np.clip(2 << len(s).bit_length(), LEAST_HASHES, MOST_HASHES))
@@ -58,9 +58,9 @@ class WidthIndex:
         distinct, first = np.unique(keys[order], return_index=True)
         bits = np.zeros(1 << _FILTER_BITS, bool)
         bits[distinct >> np.uint64(64 - _FILTER_BITS)] = True
-        return cls(np.array([i for i, _ in items]), [s for _, s in items], np.array(hashes), distinct, np.append(first, len(keys)), owners[order], weights[order], bits)
+        return cls([i for i, _ in items], [s for _, s in items], np.array(hashes), distinct, np.append(first, len(keys)), owners[order], weights[order], bits)
 
-    def find(self, words: np.ndarray, firsts: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
+    def find(self, words: np.ndarray, firsts: np.ndarray, width: int) -> Iterator[tuple[int, int | None, int, int]]:
         """(text, item id, item's size, shared) for the items whose containment passes, of texts given by their words."""
         shingles, starts = shingle_hashes(words, firsts, width)
         maybe = np.flatnonzero(self.filter[shingles >> np.uint64(64 - _FILTER_BITS)])
@@ -86,7 +86,7 @@ class WidthIndex:
             own = self.sets[k]
             shared = int(np.isin(own, shingles[starts[t] : starts[t + 1]]).sum())
             if shared * 100 >= len(own) * PERCENT:
-                yield t, int(self.ids[k]), len(own), shared
+                yield t, self.ids[k], len(own), shared
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sets. Documents are only mapped over. The items' index is broadcast, in blocks of about BLOCK_SHINGLES.
 
     Words as in near_groups(); an item of fewer than five words is one run of that many words. Null, empty and blank
-    texts match nothing. Repeated rows give repeated pairs, items with equal texts a pair each. Other columns are not
+    texts match nothing. Repeated rows give repeated pairs, items with equal texts a pair each; an
+    item without an id is found under a null item_id. Other columns are not
     read; an empty table on either side gives no rows.
 
     Returns doc_id, item_id, n_item (the item's shingles), n_shared.

@@ -146,6 +146,13 @@ def test_benchmark_in_blocks(spark, frame, monkeypatch):
     assert {tuple(r) for r in contaminated(docs, benchmark).collect()} == whole and len(whole) >= 12
 
 
+def test_benchmark_item_without_an_id(spark, frame):
+    text = "one two three four five six seven"
+    benchmark = spark.createDataFrame([(None, text), (3, text), (None, "not there at all in any document")], "item_id long, text string")
+    got = contaminated(frame([(1, f"zero {text} eight"), (2, "none")]), benchmark).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 3, 3, 3), (1, None, 3, 3)]
+
+
 # --- tokens ---
 
 
