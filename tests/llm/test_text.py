@@ -85,6 +85,23 @@ def test_trees_add_what_looks_like_confirmed_spans(frame):
     assert all(got[i].n_phone == 1 and got[i].spans.count(":") == 2 for i in range(400))
 
 
+def test_trees_add_as_many_as_they_know(frame):
+    def card(i, by):
+        head = f"4{i:014d}"
+        digits = next(head + c for c in "0123456789" if luhn(head + c))
+        return by.join(digits[k : k + 4] for k in range(0, 16, 4))
+
+    rows = [(i, f"call +1 (555) 010-{1000 + i} now, mail a{i}@b.org or pay by visa {card(i, ' ')}.") for i in range(150)]
+    rows += [(1000 + i, f"call (555) 010-{1000 + i} now, mail a{i} (at) b (dot) org or pay by visa {card(i, '.')}.") for i in range(300)]
+    rows += [(2000, "look at example.org"), (2001, "id 4000.0000.0000.0001, 12-555-010-9999-7")]
+    got = spans_of(frame, rows)
+    for i, t in rows[150:450]:
+        found = sorted((k, t[int(a) : int(z)]) for k, a, z in (s.split(":") for s in got[i].spans.split(",")))
+        assert found == [("card", card(i - 1000, ".")), ("email", f"a{i - 1000} (at) b (dot) org"), ("phone", f"(555) 010-{i}")]
+        assert (got[i].n_email, got[i].n_card, got[i].n_phone) == (0, 0, 0)
+    assert got[2000].spans == "" == got[2001].spans
+
+
 def test_booster_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = {"a": rng.integers(0, 10, 4000), "b": rng.integers(0, 5, 4000)}
