@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, partitions
+from .common import Scratch, keyed, partitions, small_or_shuffled
 from .shingles import values
 from .suffix_array import common_prefixes, suffix_array
 
@@ -20,8 +20,10 @@ GRAM = 32
 _GRAMS = LENGTH - GRAM + 1
 SLICE_BYTES = 1 << 20
 _PLACE_BITS = 21
-#: Bytes of a shard's text; a group of strings with one minimizer is never parted, so a shard can be larger.
+#: Bytes of a shard's text, beyond which it takes no further group of strings with one minimizer.
 SHARD_BYTES = 1 << 20
+#: Strings of a group at most (1.4 MB); a larger one is not put together but cut into its windows.
+GROUP_STRINGS = 1 << 13
 _RNG = np.random.default_rng(32)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _STEP = _RNG.integers(0, 1 << 64, 8, np.uint64) | np.uint64(1)
@@ -29,6 +31,7 @@ _STEP = _RNG.integers(0, 1 << 64, 8, np.uint64) | np.uint64(1)
 _PLACES = "gram long, key long, n long"
 _CUT = "gram long, string binary, at int, key long, start long, known boolean"
 _SPANS = "key long, start long, stop long"
+_WINDOWS = "window binary, key long, start long"
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -266,6 +269,18 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(spans)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest and the place of every window of strings."""
+    for b in batches:
+        digests, keys, starts = [], [], []
+        for string, key, start in zip(*(b.column(c).to_pylist() for c in ("string", "key", "start")), strict=True):
+            n = len(string) - LENGTH + 1
+            digests += [hashlib.blake2b(string[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
+            keys += [key] * n
+            starts += range(start, start + n)
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64())], names=["window", "key", "start"])
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, kept = [], []
@@ -289,6 +304,29 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], digests], names=[*b.schema.names[:4], "kept_sha256"])
 
 
+def _parted(strings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """strings of groups with GROUP_STRINGS at most, and those of larger groups, if there are any."""
+    large = scratch.write(strings.groupBy("gram").count().filter(F.col("count") > GROUP_STRINGS).select("gram"), "large")
+    if large.isEmpty():
+        return strings, None
+    # few, as each has more than GROUP_STRINGS rows
+    large = small_or_shuffled(large)
+    return strings.join(large, "gram", "left_anti"), strings.join(large, "gram", "left_semi")
+
+
+def _repeated_by_window(strings: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spans of the windows of strings that occur at an earlier place too, without putting a group together.
+
+    Equal windows meet by their digest, and the first place of each is an aggregate; where one window is very frequent, the
+    join with it can be split. A window lies in one run only, so each place comes once.
+    """
+    windows = scratch.write(strings.mapInArrow(_windows, _WINDOWS), "windows")
+    firsts = windows.groupBy("window").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n"))
+    firsts = scratch.write(firsts.filter("n > 1").select("window", "first"), "firsts")
+    repeats = windows.join(firsts, "window").filter(F.struct("key", "start") != F.col("first"))
+    return repeats.select("key", "start", (F.col("start") + LENGTH).alias("stop"))
+
+
 def _repeated_spans(source: DataFrame, scratch: Scratch) -> DataFrame:
     spark = source.sparkSession
     places = scratch.write(source.select("key", "text").mapInArrow(_places, _PLACES), "places")
@@ -297,9 +335,11 @@ def _repeated_spans(source: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = scratch.write(wanted, "wanted")
     scratch.drop("places")
     cut = scratch.write(source.select("key", "text").join(wanted, "key").select("key", "text", "grams").mapInArrow(_cut, _CUT), "cut")
-    strings = cut.filter("NOT known").drop("known").repartition(partitions(spark), "gram")
-    strings = strings.sortWithinPartitions("gram", "string", "key", "start")
+    strings, hot = _parted(cut.filter("NOT known").drop("known"), scratch)
+    strings = strings.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "string", "key", "start")
     found = scratch.write(strings.mapInArrow(_spans, _SPANS), "spans")
+    if hot is not None:
+        found = found.unionByName(_repeated_by_window(hot, scratch))
     known = cut.filter("known").select("key", "start", (F.col("start") + F.col("gram")).alias("stop"))
     return found.unionByName(known)
 
@@ -320,7 +360,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Equal strings have the same minimizer, so the text is cut into runs of windows with one minimizer. Runs whose
     minimizer occurs once repeat nothing and stay where they are. The others meet by minimizer; equal runs collapse, first
     in each batch, so that a frequent passage is sent once a batch. Shards of what then still shares a minimizer get a
-    suffix array by induced sorting and permuted common prefixes, which bring equal windows together.
+    suffix array by induced sorting and permuted common prefixes, which bring equal windows together. A group of more than
+    GROUP_STRINGS strings (a short frequent line, say, with other text around it each time) is cut again, into its windows,
+    which meet by digest; so no task holds more than a batch, a group of that many strings and a shard.
 
     Null text counts as empty; texts under LENGTH bytes stay. Null ids come first; rows that share an id follow each other
     as read. Other columns are not read; an empty table gives no rows.

@@ -117,6 +117,27 @@ def test_substrings_longer_than_a_slice(frame, monkeypatch):
     assert got == {1: 0, 2: 300, 3: 2999}
 
 
+def test_substrings_around_a_hot_line(spark, frame, monkeypatch):
+    import murmuration.llm.substring_dedup as module
+
+    rng = np.random.default_rng(6)
+    other = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    lines = ["Licensed under the terms that everyone knows.", "L" + other(98) + "!", "M" + other(150)]
+    docs = [(i, other(90) + lines[i % 3] + other(90)) for i in range(120)] + [(500 + i, other(20) + lines[0] + "x" * 70) for i in range(3)]
+    groups = []
+
+    def parted(strings, scratch, own=module._parted):
+        cold, hot = own(strings, scratch)
+        groups.append(([r["count"] for r in cold.groupBy("gram").count().collect()], hot.count()))
+        return cold, hot
+
+    monkeypatch.setattr(module, "GROUP_STRINGS", 8)
+    monkeypatch.setattr(module, "_parted", parted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats_digests(frame(docs)).collect()}
+    assert got == removed_by_brute_force(docs)
+    assert max(groups[0][0], default=0) <= 8 and groups[0][1] > 80
+
+
 def test_shingle_sets():
     for t in ("", "a", "a b", "a b c d e", "a b c d e f a b c d e f", "A b C d EÉ f"):
         assert len(next(iter(shingle_sets([t.encode()])))) == len(shingles(t))
