@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import Scratch, importable, small_or_shuffled, table
+from murmuration.llm.common import Scratch, importable, partitions, small_or_shuffled, table
 from murmuration.llm.decontaminate import contaminated
 from murmuration.llm.exact_dedup import exact_groups
 from murmuration.llm.language import train
@@ -23,9 +23,32 @@ from murmuration.llm.pieces import encode_digests
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the ids dropped, a written table. Rows without an id stay: no decision can name them."""
-    return docs.join(small_or_shuffled(dropped), "doc_id", "left_anti").select(docs.columns)
+ROW = "_row"
+
+
+def _rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with ROW, a number that no two rows share and that orders them as their ids do, nulls first.
+
+    That is the id itself, unless ids are null or repeat; then rows are written down and numbered in order.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if not ids.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    rows = scratch.write(docs.withColumn("_read", F.monotonically_increasing_id()), "rows")
+    order = rows.select("doc_id", "_read").repartitionByRange(partitions(docs.sparkSession), "doc_id", "_read").sortWithinPartitions("doc_id", "_read")
+    numbered = scratch.write(order.withColumn(ROW, F.monotonically_increasing_id()).select("_read", ROW), "numbered")
+    return rows.join(numbered, "_read").drop("_read")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """What the operators read, with ROW as the id: a decision then names one row."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows but for those whose ROW is a doc_id of dropped, a written table; without ROW."""
+    named = dropped.select(F.col("doc_id").alias(ROW))
+    return rows.join(small_or_shuffled(named), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
 
 
 def _identified(batches, model, at: int):
@@ -44,30 +67,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts. Rows that repeat id and text become one, as one of them alone stays."""
+    """One document of each set of equal texts, whether rows repeat an id, have none or neither."""
     importable(spark)
     scratch = Scratch(spark, "stage-exact")
-    groups = scratch.write(exact_groups(docs), "groups")
-    by_id = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
-    by_id = scratch.write(by_id.filter("NOT kept OR n > n_kept"), "by-id")
-    rest = _without(docs, scratch.write(by_id.filter("NOT kept").select("doc_id"), "dropped"))
-    if by_id.filter("kept").limit(1).count():
-        return rest.dropDuplicates(["doc_id", "text"])
-    return rest
+    rows = _rows(docs, scratch)
+    return _without(rows, scratch.write(exact_groups(_named(rows)).filter("NOT kept").select("doc_id"), "dropped"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The first row, by id, of each group of near copies."""
     importable(spark)
     scratch = Scratch(spark, "stage-near")
-    dropped = near_groups(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return _without(docs, scratch.write(dropped, "dropped"))
+    rows = _rows(docs, scratch)
+    return _without(rows, scratch.write(near_groups(_named(rows)).filter("NOT kept").select("doc_id"), "dropped"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _without(docs, Scratch(spark, "stage-leaks").write(found, "dropped"))
+    scratch = Scratch(spark, "stage-leaks")
+    rows = _rows(docs, scratch)
+    found = contaminated(_named(rows), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return _without(rows, scratch.write(found, "dropped"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,20 @@ def test_stages_keep_columns_and_take_odd_rows(spark, frame, tmp_path):
     assert sorted(r.doc_id or 0 for r in rows) == [0, 7, 7]
 
 
+def test_decisions_name_rows(spark, frame, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    leak, clean, near, copy = (sentence(rng, 40) for _ in range(4))
+    docs = [(None, f"{sentence(rng, 9)} {leak}"), (1, f"{leak} {sentence(rng, 9)}"), (1, clean), (None, near), (2, f"{near} end"), (3, copy), (4, copy), (4, sentence(rng, 30)), (3, sentence(rng, 20))]
+    tables(spark, tmp_path, docs, [(1, leak)])
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        rows = spark.createDataFrame(stage(spark, rows, str(tmp_path)).collect(), rows.schema)
+    kept = sorted(((r.doc_id, r.text) for r in rows.collect()), key=str)
+    assert kept == sorted([docs[k] for k in (2, 3, 5, 7, 8)], key=str)
+
+
 def test_empty_tables(spark, frame, tmp_path):
     tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
