@@ -121,6 +121,25 @@ def _escaped_length_sql(text: str) -> str:
 
 #: What DuckDB can run on whole tables in reasonable time.
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH t AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM t),
+        s AS MATERIALIZED (SELECT doc_id, line_no, line,
+            list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM l),
+        c AS MATERIALIZED (SELECT list_sort(words) AS words, min({'d': doc_id, 'l': line_no}) AS place, row_number() OVER () AS c FROM s
+            WHERE len(words) > 0 GROUP BY 1),
+        e AS (SELECT c, len(words) AS n, unnest(words) AS w FROM c),
+        f AS (SELECT w, count(*) AS n FROM e GROUP BY 1),
+        r AS (SELECT c, e.n, w, row_number() OVER (PARTITION BY c ORDER BY f.n, w) AS k FROM e JOIN f USING (w)),
+        p AS MATERIALIZED (SELECT c, n, w FROM r WHERE k <= n - (80 * n + 99) // 100 + 1),
+        q AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.w = b.w AND a.c <> b.c AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+        m AS (SELECT DISTINCT y.c FROM q JOIN c x ON x.c = a JOIN c y ON y.c = b WHERE x.place < y.place AND
+            180 * len(list_intersect(x.words, y.words)) >= 80 * (len(x.words) + len(y.words))),
+        k AS (SELECT place.d AS doc_id, place.l AS line_no FROM c WHERE c NOT IN (SELECT c FROM m)),
+        o AS (SELECT s.doc_id, s.line_no, s.line, len(words) = 0 OR k.doc_id IS NOT NULL AS stays FROM s LEFT JOIN k USING (doc_id, line_no))
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (NOT stays) AS BIGINT) AS n_removed,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '')) AS kept_sha256
+        FROM o GROUP BY doc_id""",
     "op3_decontamination": f"""
         WITH d AS MATERIALIZED ({_shingles_sql("documents", "doc_id")}), i AS MATERIALIZED ({_shingles_sql("benchmark", "item_id")}),
         n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1),
