@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +23,14 @@ def _mixed(key):
     return (c * c + b) % MODULUS
 
 
+def _spread(x):
+    """A first mix, one to one below half the modulus: sums of spread numbers do not line up as sums of the numbers would."""
+    y = x % MODULUS * 16807 % MODULUS
+    return (y * y + 977) % MODULUS
+
+
 class _Text(str):
-    """SQL text with the operators that _mixed() needs."""
+    """SQL text with the operators that the mixes need."""
 
     def _with(self, sign: str, other) -> _Text:
         return _Text(f"({self} {sign} {other})")
@@ -36,27 +45,65 @@ class _Text(str):
         return self._with("+", other)
 
 
-def draw(agent: Column | str, tick: int | Column, number: int, seed: int = 42) -> Column:
-    """An integer in [0, MODULUS) for an agent id of zero or more."""
-    agent = F.col(agent) if isinstance(agent, str) else agent
-    tick = tick if isinstance(tick, Column) else F.lit(tick)
-    return _mixed(agent.cast("long") * 1103 + tick * 7919 + (number * 104729 + seed * 31))
+_engine_seed = 42
+
+
+def init(seed: int | None = None) -> int:
+    """Sets the seed of all draws that name none, from the clock if it is not given; returns it."""
+    global _engine_seed
+    _engine_seed = int(time.time()) if seed is None else int(seed)
+    return _engine_seed
+
+
+def engine_seed() -> int:
+    return _engine_seed
+
+
+def _key(agent, tick, number: int, seed: int | None):
+    """Each part is mixed before the next is added, so that no stream of draws is another one shifted."""
+    stream = _mixed(_mixed(_engine_seed if seed is None else seed) * 31 + number)
+    return _spread(agent) + _mixed(_spread(tick) + stream)
 
 
-def uniform(agent: Column | str, tick: int | Column, number: int, seed: int = 42) -> Column:
+def draw(agent: Column | str, tick: int | Column, number: int, seed: int | None = None) -> Column:
+    """An integer in [0, MODULUS) for an agent id of zero or more. number tells the draws of one tick apart."""
+    agent = (F.col(agent) if isinstance(agent, str) else agent).cast("long")
+    tick = tick.cast("long") if isinstance(tick, Column) else tick
+    return _mixed(_key(agent, tick, number, seed))
+
+
+def uniform(agent: Column | str, tick: int | Column, number: int, seed: int | None = None) -> Column:
     """A number in [0, 1)."""
     return draw(agent, tick, number, seed) / F.lit(float(MODULUS))
 
 
-def below(n: int | Column, agent: Column | str, tick: int | Column, number: int, seed: int = 42) -> Column:
-    """An integer in [0, n)."""
-    return F.floor(uniform(agent, tick, number, seed) * n).cast("long")
+def integers(low: int, high: int | Column, agent: Column | str, tick: int | Column, number: int, seed: int | None = None) -> Column:
+    """An integer in [low, high)."""
+    return (F.floor(uniform(agent, tick, number, seed) * (high - low)) + low).cast("long")
+
+
+def choice(options: Column, agent: Column | str, tick: int | Column, number: int, seed: int | None = None) -> Column:
+    """One element of an array; null of an empty one."""
+    return F.get(options, integers(0, F.size(options), agent, tick, number, seed).cast("int"))
+
+
+def shuffled(items: Column, agent: Column | str, tick: int | Column, number: int, seed: int | None = None) -> Column:
+    """An array's elements in an order drawn for the agent: each place gets a draw of its own."""
+    agent = (F.col(agent) if isinstance(agent, str) else agent).cast("long")
+    drawn = F.transform(items, lambda x, i: F.struct(_mixed(draw(agent, tick, number, seed) + _spread(i.cast("long"))).alias("d"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(drawn), lambda s: s.x)
+
+
+def draw_array(agents: np.ndarray, tick: int, number: int, seed: int | None = None) -> np.ndarray:
+    """uniform() for an array of ids, where agents act in Python."""
+    return _mixed(_key(agents.astype(np.int64), tick, number, seed)) / float(MODULUS)
 
 
-def draw_sql(agent: str, tick: str | int, number: int, seed: int = 42) -> str:
+def draw_sql(agent: str, tick: str | int, number: int, seed: int | None = None) -> str:
     """draw() as SQL text, for engines that share integer arithmetic."""
-    return str(_mixed(_Text(f"(CAST({agent} AS BIGINT) * 1103 + ({tick}) * 7919 + {number * 104729 + seed * 31})")))
+    tick = tick if isinstance(tick, int) else _Text(f"CAST({tick} AS BIGINT)")
+    return str(_mixed(_key(_Text(f"CAST({agent} AS BIGINT)"), tick, number, seed)))
 
 
-def uniform_sql(agent: str, tick: str | int, number: int, seed: int = 42) -> str:
+def uniform_sql(agent: str, tick: str | int, number: int, seed: int | None = None) -> str:
     return f"(({draw_sql(agent, tick, number, seed)}) / {float(MODULUS)})"

@@ -15,7 +15,7 @@ from ..operators.space import colocations
 LOG = ["tick", "total", "min", "max"]
 
 
-def walk(locations: DataFrame, tick: int, box: BoundingBox, seed: int = 42) -> DataFrame:
+def walk(locations: DataFrame, tick: int, box: BoundingBox, seed: int | None = None) -> DataFrame:
     """One step of -1 or 1 along x and along y, inside sticky borders. Nothing is shuffled."""
     step = lambda k: F.when(uniform("seq", tick, k, seed) < 0.5, -1).otherwise(1)
     moved = bordered(box, BorderType.STICKY, x=F.col("x") + step(0), y=F.col("y") + step(1), z=F.lit(0))
@@ -30,7 +30,7 @@ def meetings(locations: DataFrame, tick: int) -> DataFrame:
     )
 
 
-def run(locations: DataFrame, ticks: int, box: BoundingBox, seed: int = 42, keep: Callable[[DataFrame, str], DataFrame] | None = None, every: int = 5) -> tuple[DataFrame, DataFrame]:
+def run(locations: DataFrame, ticks: int, box: BoundingBox, seed: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None, every: int = 5) -> tuple[DataFrame, DataFrame]:
     """(locations, log) after `ticks` steps, tick 0 logged too. keep writes the state each `every` ticks, to cut lineage."""
     log = meetings(locations, 0)
     for tick in range(1, ticks + 1):

@@ -11,22 +11,35 @@ from ..functions.draws import uniform
 from ..operators.network import Network
 
 
-def spread(network: Network, informed: DataFrame, tick: int, probability: float, seed: int = 42) -> DataFrame:
+def spread(network: Network, informed: DataFrame, tick: int, probability: float, seed: int | None = None) -> DataFrame:
     """Ids that hear the rumor in this tick: each link from an informed to another node tells it with `probability`.
 
     Those informed when the tick began are the ones who tell. Links of a well-connected node are spread by their other end.
     """
-    links = network.neighbours().select(F.col("id").alias("teller"), F.col("other").alias("id"))
+    return _heard(_links(network), informed, tick, probability, seed)
+
+
+def _links(network: Network) -> DataFrame:
+    return network.neighbours().select(F.col("id").alias("teller"), F.col("other").alias("id"))
+
+
+def _heard(links: DataFrame, informed: DataFrame, tick: int, probability: float, seed: int | None) -> DataFrame:
     told = links.join(informed.select(F.col("id").alias("teller")), "teller")
     heard = told.filter(uniform(F.col("teller") * 1000003 + F.col("id"), tick, 0, seed) <= probability)
     return heard.select("id").distinct().join(informed.select("id"), "id", "left_anti")
 
 
-def run(network: Network, seeds: DataFrame, ticks: int, probability: float, seed: int = 42, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, tick when informed) and the log (tick, total and new spreaders), tick 0 being the seeds."""
+def run(network: Network, seeds: DataFrame, ticks: int, probability: float, seed: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, tick when informed) and the log (tick, total and new spreaders), tick 0 being the seeds.
+
+    keep writes the links once and what each tick adds; ticks then read links that lie by teller.
+    """
+    links = _links(network)
+    if keep:
+        links = keep(links.repartition("teller"), "links")
     informed = seeds.select("id").distinct().withColumn("tick", F.lit(0))
     for tick in range(1, ticks + 1):
-        new = spread(network, informed, tick, probability, seed).withColumn("tick", F.lit(tick))
+        new = _heard(links, informed, tick, probability, seed).withColumn("tick", F.lit(tick))
         informed = informed.unionByName(keep(new, f"rumor{tick}") if keep else new)
     return informed, counts(informed, ticks)
 

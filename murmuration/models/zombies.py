@@ -37,19 +37,46 @@ def _placed(df: DataFrame, box: BoundingBox) -> DataFrame:
     return df.withColumns({"cx": cell[0], "cy": cell[1], "x": point[0], "y": point[1]})
 
 
-def _chosen(movers: DataFrame, others: DataFrame, most: bool, tick: int, draw_number: int, box: BoundingBox, seed: int) -> DataFrame:
+def _goals(movers: DataFrame, others: DataFrame, most: bool, box: BoundingBox) -> DataFrame:
+    """(cx, cy, goals): for cells of movers, the cells around with most, or fewest, of the others, in order.
+
+    Goals are found once a cell, not once a mover. Where movers flee, only cells beside the others are listed: a cell that is
+    left out has none of them near, so that all cells around it are its goals.
+    """
+    counts = others.groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.count("*").alias("n"))
+    around = neighbours(limits(box), False, top_first=True)
+    cells = movers.select("cx", "cy").distinct() if most else _beside(counts, box)
+    listed = cells.select("cx", "cy", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0).alias("z"))
+    listed = listed.select("cx", "cy", F.explode(around).alias("c")).select("cx", "cy", "c.ordinal", "c.x", "c.y")
+    counted = listed.join(counts, ["x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = F.max if most else F.min
+    found = counted.groupBy("cx", "cy").agg(best("n").alias("best"), F.collect_list(F.struct("ordinal", "x", "y", "n")).alias("all"))  # nine at most
+    tied = F.transform(F.filter("all", lambda g: g.n == F.col("best")), lambda g: F.struct(g.ordinal.alias("ordinal"), g.x.alias("x"), g.y.alias("y")))
+    return found.select("cx", "cy", tied.alias("goals"))
+
+
+def _beside(counts: DataFrame, box: BoundingBox) -> DataFrame:
+    """The cells around those that are counted, themselves included."""
+    steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+    near = counts.select("x", "y", steps.alias("s")).select((F.col("x") + F.col("s.dx")).alias("cx"), (F.col("y") + F.col("s.dy")).alias("cy"))
+    (x0, x1), (y0, y1) = limits(box)
+    return near.filter(F.col("cx").between(x0, x1) & F.col("cy").between(y0, y1)).distinct()
+
+
+def _chosen(movers: DataFrame, others: DataFrame, most: bool, tick: int, draw_number: int, box: BoundingBox, seed: int | None) -> DataFrame:
     """seq and the chosen cell around each mover: that with most, or fewest, of the others; ties fall to a draw.
 
     Counts by cell are aggregated first, so a crowded cell is one row of the join.
     """
-    counts = others.groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.count("*").alias("n"))
+    own = movers.select("seq", "cx", "cy").join(_goals(movers, others, most, box), ["cx", "cy"], "left")
     around = neighbours(limits(box), False, top_first=True)
-    listed = movers.select("seq", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0).alias("z")).select("seq", F.explode(around).alias("c"))
-    counted = listed.select("seq", "c.ordinal", "c.x", "c.y").join(counts, ["x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    tie = draw(F.col("seq") * 9 + F.col("ordinal"), tick, draw_number, seed)
-    goal = F.struct("x", "y")
-    best = F.max_by(goal, F.struct("n", tie, "ordinal")) if most else F.min_by(goal, F.struct("n", tie, "ordinal"))
-    return counted.groupBy("seq").agg(best.alias("goal")).select("seq", F.col("goal.x").alias("gx"), F.col("goal.y").alias("gy"))
+    listed = own.select("seq", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0).alias("z"), "goals")
+    every = F.transform(around, lambda c: F.struct(c.ordinal.alias("ordinal"), c.x.alias("x"), c.y.alias("y")))
+    listed = listed.select("seq", F.coalesce("goals", every).alias("goals"))
+    tie = lambda g: F.struct(draw(F.col("seq") * 9 + g.ordinal, tick, draw_number, seed).alias("d"), g.ordinal.alias("ordinal"), g.x.alias("x"), g.y.alias("y"))
+    drawn = F.transform("goals", tie)
+    goal = (F.array_max if most else F.array_min)(drawn)
+    return listed.select("seq", goal.alias("goal")).select("seq", F.col("goal.x").alias("gx"), F.col("goal.y").alias("gy"))
 
 
 def _moved(state: DataFrame, goals: DataFrame, length: float, tick: int, phase: int, box: BoundingBox) -> DataFrame:
@@ -67,7 +94,7 @@ def _moved(state: DataFrame, goals: DataFrame, length: float, tick: int, phase:
     return there.withColumn("arrival_seq", renewed).select(*STATE)
 
 
-def step(state: DataFrame, tick: int, box: BoundingBox, seed: int = 42, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def step(state: DataFrame, tick: int, box: BoundingBox, seed: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """One tick: zombies move and infect, then humans fall, or move. Each phase sees the state that the one before left."""
     keep = keep or (lambda df, _: df)
     humans, zombies = (state.filter(F.col("type") == k) for k in (HUMAN, ZOMBIE))
@@ -99,7 +126,7 @@ def counts(state: DataFrame, tick: int) -> DataFrame:
     return state.agg(*by).select(F.lit(tick).alias("tick"), "humans", "zombies")
 
 
-def run(state: DataFrame, ticks: int, box: BoundingBox, seed: int = 42, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def run(state: DataFrame, ticks: int, box: BoundingBox, seed: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(state, log): each tick is counted before it is run."""
     log = None
     for tick in range(1, ticks + 1):

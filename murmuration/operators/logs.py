@@ -30,7 +30,12 @@ class Logged:
 
 
 def logged_fields(record: type, reduction: str, names: dict[str, str | None] | None = None) -> list[Logged]:
-    """A column for each field of a dataclass, or for those in names, under the new name given there."""
+    """A column for each field of a dataclass, or for those in names, under the new name given there.
+
+    A name that is no field is a ValueError.
+    """
+    if unknown := set(names or {}) - {f.name for f in fields(record)}:
+        raise ValueError(f"{record.__name__} has no field {', '.join(sorted(unknown))}")
     out = []
     for f in fields(record):
         if names is None or f.name in names:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from .population import UID
 
 ENDS = ["src", "dst"]
 
@@ -46,26 +47,55 @@ class Network:
         new = nodes.dropDuplicates(["id"]).join(self.nodes.select("id"), "id", "left_anti")
         return replace(self, nodes=self.nodes.unionByName(new, allowMissingColumns=True))
 
-    def remove_nodes(self, ids: DataFrame) -> Network:
-        """Without the given nodes and the edges that touch them."""
+    def _uid(self, agents: DataFrame) -> list[str]:
+        """What names a node: its id, with type and uid_rank where nodes and agents have them."""
+        return [c for c in UID if c in self.nodes.columns and c in agents.columns]
+
+    def add(self, agents: DataFrame) -> Network:
+        """Agents as nodes; those who are nodes already stay as they are. Columns that nodes lack are left out."""
+        own = [c for c in self.nodes.columns if c in agents.columns]
+        new = agents.select(*own).dropDuplicates(self._uid(agents)).join(self.nodes.select(*self._uid(agents)), self._uid(agents), "left_anti")
+        return replace(self, nodes=self.nodes.unionByName(new, allowMissingColumns=True))
+
+    def remove(self, agents: DataFrame) -> Network:
+        """Without the nodes of the given agents and the edges that touch them."""
+        return self.remove_nodes(self.nodes.join(agents.select(*self._uid(agents)), self._uid(agents), "left_semi").select("id"))
+
+    def missing_nodes(self, ids: DataFrame) -> DataFrame:
+        """Those of the given ids that are no nodes: what a strict removal has to refuse."""
+        return ids.select("id").join(self.nodes.select("id"), "id", "left_anti")
+
+    def remove_nodes(self, ids: DataFrame, strict: bool = False) -> Network:
+        """Without the given nodes and the edges that touch them. Ids that are no nodes do nothing, or are a KeyError at
+        once if strict."""
         gone = ids.select("id")
+        if strict and (unknown := self.missing_nodes(gone).head()):
+            raise KeyError(unknown.id)
         edges = self.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
         return replace(self, nodes=self.nodes.join(gone, "id", "left_anti"), edges=edges.select(*self.edges.columns))
 
     def add_edges(self, new: DataFrame, order: str | None = None) -> Network:
-        """Upsert: attributes of a new edge replace those there; nulls leave them. order: which of repeated ones is last."""
+        """Upsert: attributes of a new edge replace those there; nulls leave them. Of repeated ones the last by
+        the column `order` counts, without it the greatest value of each attribute."""
         new = _ordered(new, self.directed)
         if order:
             last = [F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col(order))).alias(a) for a in self.attributes if a in new.columns]
         else:
-            last = [F.first(a, ignorenulls=True).alias(a) for a in self.attributes if a in new.columns]
+            last = [F.max(a).alias(a) for a in self.attributes if a in new.columns]
         new = new.groupBy(*ENDS).agg(F.count("*").alias("_n"), *last).drop("_n")
         both = self.edges.join(new.select(*ENDS, *(F.col(a).alias(f"new_{a}") for a in new.columns if a not in ENDS)), ENDS, "full")
         merged = [F.coalesce(f"new_{a}", a).alias(a) if f"new_{a}" in both.columns else F.col(a) for a in self.attributes]
         return self._with_ends(both.select(*ENDS, *merged))
 
-    def update_edges(self, changes: DataFrame) -> Network:
-        """Attributes of edges that are there replaced by those of changes; changes for other edges do nothing."""
+    def _refuse(self, edges: DataFrame) -> None:
+        if unknown := self.missing_edges(edges).head():
+            raise KeyError((unknown.src, unknown.dst))
+
+    def update_edges(self, changes: DataFrame, strict: bool = False) -> Network:
+        """Attributes of edges that are there replaced by those of changes. Changes for other edges do nothing, or are a
+        KeyError at once if strict."""
+        if strict:
+            self._refuse(changes)
         changes = _ordered(changes, self.directed)
         named = [a for a in self.attributes if a in changes.columns]
         both = self.edges.join(changes.select(*ENDS, *(F.col(a).alias(f"new_{a}") for a in named)), ENDS, "left")
@@ -75,7 +105,10 @@ class Network:
         """Those of the given edges that are not there: what a strict update or removal has to refuse."""
         return _ordered(edges, self.directed).join(self.edges.select(*ENDS), ENDS, "left_anti")
 
-    def remove_edges(self, edges: DataFrame) -> Network:
+    def remove_edges(self, edges: DataFrame, strict: bool = False) -> Network:
+        """Without the given edges; edges that are not there do nothing, or are a KeyError at once if strict."""
+        if strict:
+            self._refuse(edges)
         return replace(self, edges=self.edges.join(_ordered(edges, self.directed).select(*ENDS), ENDS, "left_anti"))
 
     def clear_edges(self) -> Network:
@@ -127,7 +160,7 @@ class Network:
             seen = seen.unionByName(front)
         return seen
 
-    def random_parts(self, n: int, seed: int = 42) -> DataFrame:
+    def random_parts(self, n: int, seed: int | None = None) -> DataFrame:
         """(id, part): nodes in an order drawn from (seed, id), dealt out in turn, so that sizes differ by one at most.
 
         Ranks come from counts by range of the drawn number, so no task sorts all nodes.

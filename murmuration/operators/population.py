@@ -38,9 +38,11 @@ class Population:
         return out
 
     def add(self, rows: DataFrame) -> Population:
-        """Set semantics: a row whose uid is there already changes nothing."""
+        """Set semantics: a row whose uid is there already changes nothing. Projections with add() get the new agents too."""
         new = rows.dropDuplicates(UID).join(self.df.select(*UID), UID, "left_anti")
-        return self._with(self.df.unionByName(new, allowMissingColumns=True))
+        out = self._with(self.df.unionByName(new, allowMissingColumns=True))
+        out.projections = {k: p.add(new) if hasattr(p, "add") else p for k, p in out.projections.items()}
+        return out
 
     def remove(self, uids: DataFrame) -> Population:
         """Without the given agents; projections that offer remove() lose them too."""
@@ -48,7 +50,7 @@ class Population:
         out.projections = {k: p.remove(uids) if hasattr(p, "remove") else p for k, p in out.projections.items()}
         return out
 
-    def agents(self, agent_type: int | None = None, count: int | None = None, shuffle: bool = False, seed: int = 42, tick: int = 0) -> DataFrame:
+    def agents(self, agent_type: int | None = None, count: int | None = None, shuffle: bool = False, seed: int | None = None, tick: int = 0) -> DataFrame:
         """Agents in insertion order, or in an order drawn from (seed, tick, id); the first `count` of them if given."""
         df = self.df
         if agent_type is not None:
@@ -81,9 +83,10 @@ class Population:
         return {t: counts[t] for t in agent_types} if agent_types else {-1: counts.get(-1, 0)}
 
     def add_projection(self, name: str, projection: object) -> None:
+        """Registers a projection under a free name; the agents that it lacks are added to it."""
         if name in self.projections:
             raise ValueError(f"there is a projection {name} already")
-        self.projections[name] = projection
+        self.projections[name] = projection.add(self.df) if hasattr(projection, "add") else projection
 
     def get_projection(self, name: str) -> object:
         return self.projections[name]
@@ -105,6 +108,42 @@ class Population:
         """Owners recomputed from the agents' rows, as a location's tile."""
         return self._with(self.df.withColumn("tile", tile))
 
+    def synchronize_with(self, name: str) -> tuple[Population, dict[str, DataFrame]]:
+        """Owners recomputed from the locations of a registered space, and what tiles then see of each other.
+
+        Agents that are not placed keep their owner. The second result has the halo of every projection and value layer
+        that has a tiling, by name; layers are named layer0, layer1 and so on.
+        """
+        owners = self.projections[name].tiles().filter("x IS NOT NULL").select(*UID, F.col("tile").alias("new_tile"))
+        moved = self.df.join(owners, UID, "left").withColumn("tile", F.coalesce("new_tile", "tile")).drop("new_tile")
+        named = self.projections | {f"layer{k}": layer for k, layer in enumerate(self.layers)}
+        halos = {k: p.halo() for k, p in named.items() if getattr(p, "tiling", None) is not None}
+        return self._with(moved), halos
+
+    def changes(self, before: DataFrame, columns: list[str]) -> DataFrame:
+        """Agents whose state differs from that in an earlier table, or who are new in it: what an update has to send."""
+        old = before.select(*UID, F.struct(*columns).alias("_old"))
+        both = self.df.join(old, UID, "left")
+        return both.filter(~F.struct(*columns).eqNullSafe(F.col("_old"))).drop("_old")
+
+    def update(self, states: DataFrame) -> Population:
+        """State columns of the agents that states (uid and some columns) names, replaced by those there; others stay."""
+        named = [c for c in states.columns if c not in UID]
+        new = states.select(*UID, F.lit(True).alias("_told"), *(F.col(c).alias(f"_new_{c}") for c in named))
+        both = self.df.join(new, UID, "left")
+        state = {c: F.when(F.col("_told"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in named}
+        return self._with(both.withColumns(state).select(*self.df.columns))
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temp views for SQL: agents, and per projection its tables, named <prefix><projection>_<table>; their names."""
+        tables = {"agents": self.df}
+        for name, p in self.projections.items():
+            tables |= {f"{name}_{t}": getattr(p, t) for t in ("locations", "nodes", "edges") if hasattr(p, t)}
+        tables |= {f"layer{k}_cells": layer.cells for k, layer in enumerate(self.layers)}
+        for name, df in tables.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in tables]
+
     def migrations(self, tile: Column) -> DataFrame:
         """Agents whose owner changes: uid, tile, new_tile."""
         return self.df.withColumn("new_tile", tile).filter("new_tile != tile").select(*UID, "tile", "new_tile")

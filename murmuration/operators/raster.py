@@ -33,10 +33,10 @@ class ValueLayer:
     tiling: Tiling | None = None
 
     @classmethod
-    def create(cls, spark: SparkSession, box: BoundingBox, border: BorderType = BorderType.STICKY, init: float | str = 0.0, seed: int = 42) -> ValueLayer:
-        """All cells at init, or at draws from [0, 1) by (seed, cell) if init is 'random'."""
+    def create(cls, spark: SparkSession, box: BoundingBox, border: BorderType = BorderType.STICKY, init: float | str = 0.0, seed: int | None = None, dtype: str = "double") -> ValueLayer:
+        """All cells at init, or at draws from [0, 1) by (seed, cell) if init is 'random'; values are of Spark's type dtype."""
         value = uniform("number", 0, 0, seed) if init == "random" else F.lit(float(init))
-        return cls(cell_numbers(spark, box).select(*CELL, value.alias("value")), box, border)
+        return cls(cell_numbers(spark, box).select(*CELL, value.cast(dtype).alias("value")), box, border)
 
     def _inside(self, points: DataFrame) -> DataFrame:
         """The points with at_x, at_y, at_z: the cells that the borders make of them."""
@@ -48,6 +48,11 @@ class ValueLayer:
         there = self.cells.select(*(F.col(c).alias(f"at_{c}") for c in CELL), "value")
         return self._inside(points).join(there, [f"at_{c}" for c in CELL], "left").drop(*(f"at_{c}" for c in CELL))
 
+    def rows(self) -> DataFrame:
+        """An array view: (y, z, values), one row for each line of cells along x, in order; it has to fit in a task."""
+        cells = F.array_sort(F.collect_list(F.struct("x", "value")))
+        return self.cells.groupBy("y", "z").agg(F.transform(cells, lambda c: c.value).alias("values"))
+
     def set(self, updates: DataFrame) -> ValueLayer:
         """Cells set to `value` of updates (x, y, z, value, seq); of several for a cell, that with the largest seq holds."""
         last = self._inside(updates).groupBy(*(F.col(f"at_{c}").alias(c) for c in CELL)).agg(F.max_by("value", "seq").alias("new"))
@@ -63,7 +68,7 @@ class ValueLayer:
         listed = points.select(*(F.col(c).alias(f"of_{c}") for c in CELL), F.explode(around).alias("n")).select("of_x", "of_y", "of_z", "n.*")
         return listed.join(self.cells, CELL, "left")
 
-    def halo(self, width: int) -> DataFrame:
+    def halo(self, width: int = 1) -> DataFrame:
         """Cells near a tile's sides, for each tile beside it."""
         strips = self.tiling.strips(self.cells.sparkSession, width)
         near = F.expr("x >= xmin AND x < xmax") & (F.lit(self.box.num_dims < 2) | F.expr("y >= ymin AND y < ymax"))
@@ -111,6 +116,11 @@ class ReadWriteLayer:
     def neighbourhoods(self, points: DataFrame) -> DataFrame:
         return self.read.neighbourhoods(points)
 
+    def rows(self) -> DataFrame:
+        """An array view: (y, z, values), one row for each line of cells along x, in order; it has to fit in a task."""
+        cells = F.array_sort(F.collect_list(F.struct("x", "value")))
+        return self.cells.groupBy("y", "z").agg(F.transform(cells, lambda c: c.value).alias("values"))
+
     def set(self, updates: DataFrame) -> ReadWriteLayer:
         return replace(self, write=self.write.set(updates))
 

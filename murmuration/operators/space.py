@@ -36,6 +36,10 @@ class Space:
     def remove(self, uids: DataFrame) -> Space:
         return replace(self, locations=self.locations.join(uids.select(*UID), UID, "left_anti"))
 
+    def missing(self, uids: DataFrame) -> DataFrame:
+        """Those of the given agents who are no members: what a strict move has to refuse."""
+        return uids.select(*UID).join(self.locations.select(*UID), UID, "left_anti")
+
     def contains(self, uids: DataFrame) -> DataFrame:
         """Those of the given agents who are members, placed or not."""
         return uids.join(self.locations.select(*UID), UID, "left_semi")
@@ -47,13 +51,17 @@ class Space:
     def transform(self, x="x", y="y", z="z") -> list[Column]:
         return bordered(self.box, self.border, self.continuous, x, y, z)
 
-    def move(self, moves: DataFrame, stamp: int = 1) -> Space:
+    def move(self, moves: DataFrame, stamp: int = 1, strict: bool = False) -> Space:
         """Agents at the points that moves (uid, x, y, z) name, borders applied.
 
+        Moves of agents who are no members do nothing, or are a KeyError at once if strict.
+
         All moves see the locations as they were. A new arrival gets arrival_seq from stamp, which must grow from one
         phase to the next; who moves in place keeps theirs. With single occupancy, a point that is taken stays closed in
         this phase even if its agent leaves, the one with the smallest seq gets a free point, and others stay.
         """
+        if strict and (stranger := self.missing(moves).head()):
+            raise KeyError(tuple(stranger))
         to = moves.select(*UID, *self.transform()).select(*UID, *(F.col(c).alias(f"to_{c}") for c in CELL))
         old, new = F.struct(*CELL), F.struct(*(F.col(f"to_{c}").alias(c) for c in CELL))
         both = self.locations.join(to, UID, "left")
@@ -117,14 +125,26 @@ class Space:
         inside = F.expr("x >= xmin AND x < xmin + xextent AND y >= ymin AND y < ymin + yextent")
         return points.join(listed, ["bx", "by"]).filter(inside).drop("bx", "by", "xmin", "xextent", "ymin", "yextent")
 
-    def random_points(self, agents: DataFrame, tick: int = 0, seed: int = 42) -> DataFrame:
-        """A point of the box for each agent, drawn from (seed, tick, seq): whole cells, or any point if continuous."""
+    def random_points(self, agents: DataFrame, tick: int = 0, seed: int | None = None) -> DataFrame:
+        """A point of the whole box for each agent, drawn from (seed, tick, seq): whole cells, or any point if continuous."""
         out = []
         for k, (c, (mn, extent)) in enumerate(zip(CELL, self.box.axes, strict=True)):
             at = uniform("seq", tick, k, seed) * extent
             out.append((at + mn if self.continuous else F.floor(at) + mn).cast("double" if self.continuous else "long").alias(c))
         return agents.select(*UID, *out)
 
+    def random_tile_points(self, agents: DataFrame, tick: int = 0, seed: int | None = None) -> DataFrame:
+        """A point for each agent inside the tile that owns it (column tile), drawn from (seed, tick, seq).
+
+        The tiles, a row each, are broadcast. Low ends and extents come from the tiling, so the draw is one expression.
+        """
+        tiles = self.tiling.tiles(agents.sparkSession)
+        out = []
+        for k, c in enumerate(CELL):
+            at = uniform("seq", tick, k, seed) * F.col(f"{c}extent")
+            out.append(((at if self.continuous else F.floor(at)) + F.col(f"{c}min")).cast("double" if self.continuous else "long").alias(c))
+        return agents.join(F.broadcast(tiles), "tile").select(*UID, "tile", *out)
+
     def tiles(self) -> DataFrame:
         """Locations with their tile."""
         return self.locations.withColumn("tile", self.tiling.tile_of())

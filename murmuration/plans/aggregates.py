@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+from dataclasses import dataclass
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.logs import Logged, reduced, tabular
+from ..operators.logs import Logged, logged_fields, reduced, tabular
 from ..operators.population import UID
 from ..operators.space import colocations
+from ..sources.files import LogSink, dump_parameters, read_parameters
+from ..sources.scratch import Scratch
 from .catalog import query
 from .views import Views, with_views
 
@@ -71,3 +76,60 @@ def _(v: Views):
     n = v.agents().groupBy("uid_rank").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("uid_rank").rowsBetween(Window.unboundedPreceding, -1))
     return n.select("uid_rank", "n", F.coalesce(before, F.lit(0)).alias("before"))
+
+
+@query("reduce_any_all", with_views("SELECT tick, bool_or(v > 400) AS some, bool_and(v > 1) AS every FROM ticklog GROUP BY tick", "ticklog"))
+def _(v: Views):
+    rows = v.tick_log().withColumns({"high": F.col("v") > 400, "real": F.col("v") > 1})
+    return reduced(rows, [Logged("high", "any", "some"), Logged("real", "all", "every")])
+
+
+@query("reduce_bits", with_views("SELECT tick, bit_or(seq) AS any_bit, bit_and(seq) AS all_bits, bit_xor(seq) AS odd_bits FROM ticklog GROUP BY tick", "ticklog"))
+def _(v: Views):
+    return reduced(v.tick_log(), [Logged("seq", f"bit_{op}", name) for op, name in (("or", "any_bit"), ("and", "all_bits"), ("xor", "odd_bits"))])
+
+
+@query("reduce_product", with_views("SELECT tick, uid_rank, round(product(1 + v / 100000), 6) AS grown FROM ticklog GROUP BY 1, 2", "ticklog"))
+def _(v: Views):
+    rows = v.tick_log().withColumn("factor", 1 + F.col("v") / 100_000).withColumn("at", F.struct("tick", "uid_rank"))
+    return reduced(rows, [Logged("factor", "product", "grown")], "at").select("at.tick", "at.uid_rank", F.round("grown", 6).alias("grown"))
+
+
+@dataclass
+class _Counts:
+    """What a model would count on each rank."""
+
+    seq: int
+    v: float
+    uid_rank: int
+
+
+@query("logger_fields", with_views("SELECT tick, CAST(max(seq) AS BIGINT) AS last, CAST(max(v) AS DOUBLE) AS v FROM ticklog GROUP BY tick", "ticklog"))
+def _(v: Views):
+    return reduced(v.tick_log(), logged_fields(_Counts, "max", {"seq": "last", "v": None}))
+
+
+@query("log_sink_ticks", with_views(", t AS (SELECT tick, uid_rank, seq, round(v, 4) AS v FROM ticklog WHERE tick < 7) SELECT CAST(row_number() OVER (ORDER BY tick, uid_rank, seq) AS INT) AS line, tick, uid_rank, seq, v FROM t", "ticklog"))
+def _(v: Views):
+    """The first seven ticks, logged one by one with a buffer of three and read back in order."""
+    sink = LogSink(v.spark, f"{Scratch(v.spark, 'log').root}/log.csv", ["uid_rank", "seq"], buffer_size=3)
+    rows = v.tick_log().withColumn("v", F.round("v", 4))
+    for tick in range(7):
+        sink.log(rows.filter(F.col("tick") == tick))
+    sink.close()
+    lines = sink.read("tick int, uid_rank int, seq long, v double").collect()  # seven ticks of one log
+    return v.spark.createDataFrame([(k, *r) for k, r in enumerate(lines, 1)], "line int, tick int, uid_rank int, seq long, v double")
+
+
+@query("parameters_roundtrip", "SELECT 'walk' AS name, 9 AS ticks, 7 AS seed")
+def _(v: Views):
+    """Parameters written under a free name, beside one that is taken, and read back with an entry put over them."""
+    path = f"{Scratch(v.spark, 'parameters').root}/p.yaml"
+    dump_parameters(v.spark, {"name": "other"}, path)
+    out = dump_parameters(v.spark, {"name": "walk", "ticks": 3, "seed": 7}, path)
+    rows = v.spark.read.text(out).collect()
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as f:  # the driver's own copy, which only it reads
+        f.write("\n".join(r.value for r in rows))
+        f.flush()
+        p = read_parameters(f.name, '{"ticks": 9}')
+    return v.spark.createDataFrame([(p["name"], p["ticks"], p["seed"])], "name string, ticks int, seed int")

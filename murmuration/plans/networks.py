@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql, uniform, uniform_sql
+from ..operators import graphs
 from ..operators.network import Network
-from ..sources.graph_file import network_lines, parse_lines
+from ..sources.graph_file import network_lines, parse_lines, read_network, write_network
 from ..sources.scratch import Scratch
 from .catalog import query
 from .views import TILES, Views, with_views
@@ -158,3 +159,68 @@ def _(v: Views):
 @query("bernoulli_edges", with_views(f"SELECT src, dst FROM ring WHERE {uniform_sql('src * 1000003 + dst', 1, 0)} <= 0.3", "ring"))
 def _(v: Views):
     return v.ring().edges.filter(uniform(F.col("src") * 1000003 + F.col("dst"), 1, 0) <= 0.3)
+
+
+@query("net_add_edge_directed", with_views(", new AS (SELECT src, CASE WHEN src % 2 = 0 THEN dst ELSE dst + 100000 END AS dst, src * 1.0 AS w FROM ring) SELECT coalesce(n.src, r.src) AS src, coalesce(n.dst, r.dst) AS dst, coalesce(n.w, 0.0)::DOUBLE AS w FROM ring r FULL JOIN new n ON r.src = n.src AND r.dst = n.dst", "ring"))
+def _(v: Views):
+    ring = v.ring()
+    net = Network(ring.nodes, ring.edges.withColumn("w", F.lit(0.0)), True)
+    new = ring.edges.select("src", F.when(F.col("src") % 2 == 0, F.col("dst")).otherwise(F.col("dst") + 100_000).alias("dst"), F.col("src").cast("double").alias("w"))
+    return net.add_edges(new).edges
+
+
+@query("net_missing_node", with_views("SELECT id + 7000000 AS id FROM nodes WHERE id > 0", "nodes"))
+def _(v: Views):
+    asked = v.nodes().select(F.when(F.col("id") > 0, F.col("id") + 7_000_000).otherwise(F.col("id")).alias("id"))
+    return Network(v.nodes(), v.bipartite().edges).missing_nodes(asked)
+
+
+@query("net_read_file", with_views("SELECT 'orders' AS name, false AS directed, src AS u, dst AS v, CAST(w AS VARCHAR) AS weight, CAST(n.type AS INT) AS src_type FROM bip JOIN nodes n ON n.id = bip.src", "bip", "nodes"))
+def _(v: Views):
+    """A graph file written to the shared folder and read from it: header, nodes with types, edges with attributes."""
+    net, path = v.bipartite(), f"{Scratch(v.spark, 'graph').root}/file"
+    edges = net.edges.select("src", "dst", F.create_map(F.lit("weight"), F.col("w").cast("string")).alias("attrs"))
+    write_network("orders", Network(v.nodes().select("id", "type"), edges), path, 3)
+    name, back = read_network(v.spark, path, lambda nodes: nodes.select("id", F.col("type").alias("kind")))
+    both = back.edges.join(back.nodes, F.col("src") == F.col("id"))
+    return both.select(F.lit(name).alias("name"), F.lit(back.directed).alias("directed"), F.col("src").alias("u"), F.col("dst").alias("v"), F.element_at("attrs", "weight").alias("weight"), F.col("kind").alias("src_type"))
+
+
+_COMPONENTS_SQL = f""", {_RINGNODES}, links AS (SELECT src AS a, dst AS b FROM ring WHERE src % 7 = dst % 7 UNION SELECT dst, src FROM ring WHERE src % 7 = dst % 7),
+    r AS (SELECT id AS x, id AS y FROM ringnodes UNION SELECT r.x, l.b FROM r JOIN links l ON r.y = l.a) SELECT x AS id, min(y) AS component FROM r GROUP BY x"""
+
+
+@query("net_components", with_views(_COMPONENTS_SQL, "ring", recursive=True))
+def _(v: Views):
+    ring = v.ring()
+    return graphs.connected_components(Network(ring.nodes, ring.edges.filter("src % 7 = dst % 7"), True), Scratch(v.spark, "components").write)
+
+
+def _page_rank_sql(rounds: int) -> str:
+    body = f", {_RINGNODES}, deg AS (SELECT src, count(*) AS o FROM ring GROUP BY 1), nn AS (SELECT count(*) AS n FROM ringnodes), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM ringnodes, nn)"
+    for k in range(1, rounds + 1):
+        body += f""", g{k} AS (SELECT dst AS id, sum(rank / o) AS got FROM ring JOIN deg USING (src) JOIN r{k - 1} ON id = src GROUP BY 1),
+            l{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k - 1} WHERE id NOT IN (SELECT src FROM deg)),
+            r{k} AS (SELECT i.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM ringnodes i LEFT JOIN g{k} g ON g.id = i.id, nn, l{k})"""
+    return with_views(f"{body} SELECT id, round(rank * 1000, 9) AS rank FROM r{rounds}", "ring")
+
+
+@query("net_page_rank", _page_rank_sql(4))
+def _(v: Views):
+    ranks = graphs.page_ranks(v.ring(), 4, Scratch(v.spark, "ranks").write)
+    return ranks.select("id", F.round(F.col("rank") * 1000, 9).alias("rank"))
+
+
+@query("net_distances", with_views(""", e AS (SELECT src, dst, 1 + (src * 3 + dst) % 5 AS w FROM ring),
+    b AS (SELECT 1 AS id, 0 AS d UNION SELECT e.dst, b.d + e.w FROM b JOIN e ON e.src = b.id WHERE b.d + e.w <= 100)
+    SELECT id, CAST(min(d) AS DOUBLE) AS distance FROM b GROUP BY id""", "ring", recursive=True))
+def _(v: Views):
+    ring = v.ring()
+    weighted = Network(ring.nodes, ring.edges.withColumn("w", 1 + (F.col("src") * 3 + F.col("dst")) % 5), True)
+    return graphs.distances(weighted, v.spark.createDataFrame([(1,)], "id long"), Scratch(v.spark, "distances").write, "w")
+
+
+@query("net_partition_near", with_views(f", {_RINGNODES}, c AS (SELECT count(*) AS n FROM ringnodes) SELECT CAST(p AS INT) AS part, (n * (p + 1) + 2) // 3 - (n * p + 2) // 3 AS n FROM c, range(3) t(p)", "ring"))
+def _(v: Views):
+    """Sizes of the parts; the tests look at what they cut."""
+    return graphs.near_parts(v.ring(), 3, Scratch(v.spark, "near").write).groupBy("part").agg(F.count("*").alias("n"))

@@ -8,6 +8,8 @@ from ..functions.draws import uniform_sql
 from ..functions.geometry import BorderType, BoundingBox, Tiling
 from ..models import diffusion
 from ..operators.raster import ReadWriteLayer, ValueLayer
+from ..operators.tiles import diffuse_tiles
+from ..sources.scratch import Scratch
 from .catalog import query
 from .views import RASTER, Views, with_views
 
@@ -88,3 +90,34 @@ def _(v: Views):
     tiling = Tiling.balanced(BoundingBox(0, 90, 0, 120), 9)
     rows = [(t, *(n for side in tiling.buffered(t, 2).axes[:2] for n in side)) for t in range(tiling.size)]
     return v.spark.createDataFrame(rows, "tile int, xmin long, xextent long, ymin long, yextent long")
+
+
+@query("layer_diffuse_tiles", diffusion_sql(3, False))
+def _(v: Views):
+    tiles = Tiling(RASTER, (4, 2))
+    return diffuse_tiles(v.layer(), 3, tiles, at_once=2, keep=Scratch(v.spark, "tiles").write).cells.select("x", "y", F.round("value", 6).alias("value"))
+
+
+@query("layer_diffuse_tiles_periodic", diffusion_sql(3, True))
+def _(v: Views):
+    tiles = Tiling(RASTER, (3, 1), periodic=True)
+    return diffuse_tiles(v.layer(BorderType.PERIODIC), 3, tiles, at_once=3).cells.select("x", "y", F.round("value", 6).alias("value"))
+
+
+@query("layer_rows", with_views("SELECT y, z, string_agg(CAST(value AS BIGINT), ',' ORDER BY x) AS listed FROM cells GROUP BY 1, 2", "cells"))
+def _(v: Views):
+    return v.layer().rows().select("y", "z", F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), ",").alias("listed"))
+
+
+@query("layer_dtype", "SELECT x, y, CAST(7 AS INT) AS value FROM range(50) a(x), range(7) b(y)")
+def _(v: Views):
+    return ValueLayer.create(v.spark, RASTER, init=7.9, dtype="int").cells.select("x", "y", "value")
+
+
+@query("layer_rw_nghs", with_views(f"SELECT p.x, p.y, o.k AS ordinal, c.value AS before, c.value + 1 AS after FROM cells p, {_NEAR}, cells c WHERE c.x = p.x + o.dx AND c.y = p.y + o.dy", "cells"))
+def _(v: Views):
+    layer = v.layer()
+    points = layer.cells.select("x", "y", "z")
+    double = ReadWriteLayer(layer, layer).set(layer.cells.select("x", "y", "z", (F.col("value") + 1).alias("value"), F.lit(0).alias("seq")))
+    shown = lambda d, name: d.neighbourhoods(points).select(F.col("of_x").alias("x"), F.col("of_y").alias("y"), "ordinal", F.col("value").alias(name))
+    return shown(double, "before").join(shown(double.swap(), "after"), ["x", "y", "ordinal"])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import product
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.geometry import BorderType, BoundingBox, OccupancyType, bordered, neighbours
+from ..functions.draws import draw_array, uniform_sql
+from ..functions.geometry import BorderType, BoundingBox, OccupancyType, Tiling, bordered, neighbours
 from ..models.zombies import limits
 from ..operators.population import UID
 from ..operators.space import Space
+from ..operators.tiles import step_agents
 from .catalog import query
-from .populations import TILE_SQL
+from .populations import STRIPS_CTE, TILE_SQL, TILES_CTE
 from .views import GRID, PLANE, TILES, Views, periodic_sql, sticky_sql, with_views
 
 _UID = "id, type, uid_rank"
@@ -68,8 +72,7 @@ for _dims in (1, 2, 3):
         query(f"nghs_{_dims}d_{'periodic' if _periodic else 'sticky'}", _neighbours_sql(_dims, _periodic, _BOX3))(_neighbours(_dims, _periodic))
 query("nghs_top_row_first", _neighbours_sql(2, False, limits(GRID), True))(_neighbours(2, False, limits(GRID), True))
 
-_TILES_SQL = """tiles AS (SELECT CAST(cx * 2 + cy AS INT) AS tile, cx, cy, cx * 10 AS xmin, CAST(10 AS BIGINT) AS xextent,
-    CASE cy WHEN 0 THEN 0 ELSE 13 END AS ymin, CASE cy WHEN 0 THEN 13 ELSE 12 END AS yextent FROM range(4) a(cx), range(2) b(cy))"""
+_TILES_SQL = TILES_CTE
 
 
 @query("tile_bounds", f"WITH {_TILES_SQL} SELECT tile, xmin, xextent, ymin, yextent, 0 AS zmin, 0 AS zextent FROM tiles")
@@ -87,10 +90,7 @@ def _(v: Views):
     return TILES.neighbour_table(v.spark)
 
 
-_STRIPS_SQL = """strips AS (SELECT a.tile AS src_tile, b.tile AS dst_tile,
-    CASE WHEN b.cx > a.cx THEN a.xmin + a.xextent - 2 ELSE a.xmin END AS xmin, CASE WHEN b.cx < a.cx THEN a.xmin + 2 ELSE a.xmin + a.xextent END AS xmax,
-    CASE WHEN b.cy > a.cy THEN a.ymin + a.yextent - 2 ELSE a.ymin END AS ymin, CASE WHEN b.cy < a.cy THEN a.ymin + 2 ELSE a.ymin + a.yextent END AS ymax
-    FROM tiles a, tiles b WHERE abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND a.tile <> b.tile)"""
+_STRIPS_SQL = STRIPS_CTE
 
 
 @query("halo_strips", f"WITH {_TILES_SQL}, {_STRIPS_SQL} SELECT src_tile, dst_tile, xmin, xmax, ymin, ymax FROM strips")
@@ -219,3 +219,51 @@ def _(v: Views):
 @query("num_agents_by_type", with_views(f", {_POINTS} SELECT p.x, p.y, p.z, count(l.id) FILTER (l.type = 1) AS n FROM points p LEFT JOIN locs l USING (x, y) GROUP BY 1, 2, 3", "locs"))
 def _(v: Views):
     return v.space().num_agents(_all_points(v), 1)
+
+
+@query("cspace_halo", with_views(", t AS (SELECT *, CASE WHEN x < 200 THEN 0 ELSE 1 END AS tile FROM plane) SELECT tile AS src_tile, 1 - tile AS dst_tile, id, type, uid_rank, round(x, 6) AS x, round(y, 6) AS y FROM t WHERE x >= 195 AND x < 205", "plane"))
+def _(v: Views):
+    space = replace(v.plane(), tiling=Tiling(PLANE, (2, 1)), buffer_size=5)
+    return space.halo().select("src_tile", "dst_tile", *UID, F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("cspace_random_pt", with_views(f"SELECT id, type, uid_rank, round({uniform_sql('seq', 3, 0)} * 400, 6) AS x, round({uniform_sql('seq', 3, 1)} * 120, 6) AS y FROM plane_points", "plane_points"))
+def _(v: Views):
+    return v.plane().random_points(v.plane_points(), 3).select(*UID, F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("grid_within_box", with_views(f"SELECT {_UID}, x, y FROM locs WHERE x >= 5 AND x < 25 AND y >= 3 AND y < 13", "locs"))
+def _(v: Views):
+    return v.space().within(BoundingBox(5, 20, 3, 10)).select(*UID, "x", "y")
+
+
+@query("space_missing", with_views(f"SELECT {_UID} FROM agents WHERE type = 1", "agents"))
+def _(v: Views):
+    return Space(v.space().locations.filter("type = 0"), GRID).missing(v.agents())
+
+
+@query("tile_step_walk", with_views(f"SELECT {_UID}, {sticky_sql(f'x + CASE WHEN {uniform_sql("seq", 1, 0)} < 0.5 THEN -1 ELSE 1 END', 0, 40)} AS x, {sticky_sql(f'y + CASE WHEN {uniform_sql("seq", 1, 1)} < 0.5 THEN -1 ELSE 1 END', 0, 25)} AS y FROM locs", "locs"))
+def _(v: Views):
+    """The walk's step as a Python function of a tile's agents; the same as the column form's."""
+
+    def step(own, around):
+        for k, (c, most) in enumerate((("x", 39), ("y", 24))):
+            drawn = draw_array(own["seq"].to_numpy(), 1, k)
+            own[c] = (own[c] + (drawn >= 0.5) * 2 - 1).clip(0, most)
+        return own[[*UID, "x", "y"]]
+
+    return step_agents(v.space(), step, "id long, type int, uid_rank int, x long, y long")
+
+
+@query("tile_step_neighbours", with_views(", c AS (SELECT x, y, count(*) AS n FROM locs GROUP BY 1, 2) SELECT l.id, l.type, l.uid_rank, CAST(sum(c.n) AS BIGINT) - 1 AS near FROM locs l JOIN c ON abs(l.x - c.x) <= 1 AND abs(l.y - c.y) <= 1 GROUP BY 1, 2, 3", "locs"))
+def _(v: Views):
+    """Others in the nine cells around each agent, over the tiles' sides."""
+
+    def step(own, around):
+        cells = np.zeros((GRID.xextent + 2, GRID.yextent + 2), int)
+        for rows in (own, around):
+            np.add.at(cells, (rows["x"].to_numpy() + 1, rows["y"].to_numpy() + 1), 1)
+        near = sum(cells[own["x"] + 1 + dx, own["y"] + 1 + dy] for dx in (-1, 0, 1) for dy in (-1, 0, 1))
+        return own[UID].assign(near=near - 1)
+
+    return step_agents(v.space(), step, "id long, type int, uid_rank int, near long", buffer_size=1)

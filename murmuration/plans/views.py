@@ -10,6 +10,7 @@ from ..operators.network import Network
 from ..operators.population import UID, Population, agent_rows
 from ..operators.raster import ValueLayer
 from ..operators.space import Space
+from ..sources.workers import importable
 
 GRID = BoundingBox(0, 40, 0, 25)
 PLANE = BoundingBox(0, 400, 0, 120)
@@ -23,6 +24,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        importable(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -114,6 +116,7 @@ _CTES = {
     "plane_points": """SELECT event_id AS id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS type, 0 AS uid_rank,
         event_id AS seq, value AS x, user_id + value / 1000 AS y, CAST(0 AS DOUBLE) AS z FROM events""",
     "plane": f"""SELECT id, type, uid_rank, seq, {sticky_sql('x', 0, 400, 1e-8)} AS x, {sticky_sql('y', 0, 120, 1e-8)} AS y FROM plane_points""",
+    "tiled": """SELECT *, CAST((CASE WHEN x < 40 THEN x // 10 ELSE 3 END) * 2 + (CASE WHEN y < 13 THEN 0 ELSE 1 END) AS INT) AS tile FROM locs""",
     "bip_edges": """SELECT o_custkey AS src, -l_suppkey - 1 AS dst, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2""",
     "bip": "SELECT least(src, dst) AS src, greatest(src, dst) AS dst, w FROM bip_edges",
     "nodes": "SELECT CASE WHEN type = 0 THEN id ELSE -id - 1 END AS id, type FROM agents",
@@ -126,7 +129,7 @@ _CTES = {
         CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 3 ELSE 2 END AS priority_type, value AS priority FROM events""",
     "ticklog": "SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS tick, CAST(user_id % 4 AS INT) AS uid_rank, event_id AS seq, value AS v FROM events",
 }
-_NEEDS = {"population": ["agents"], "raw_points": ["agents"], "locs": ["raw_points"], "plane": ["plane_points"], "bip": ["bip_edges"], "nodes": ["agents"]}
+_NEEDS = {"population": ["agents"], "raw_points": ["agents"], "locs": ["raw_points"], "tiled": ["locs"], "plane": ["plane_points"], "bip": ["bip_edges"], "nodes": ["agents"]}
 
 
 def with_views(body: str, *names: str, recursive: bool = False) -> str:

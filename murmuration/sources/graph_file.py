@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import near_parts
 from ..operators.network import Network
+from .scratch import Scratch
 
 # Fixed format: "name 0|1", then "id type rank [json]" lines, a line EDGES, then "u v [json]" lines.
 EDGES = "EDGES"
-TOKEN = r"(\{[^}]+\}|\S+)"
 _ATTRIBUTES = "map<string,string>"
 
 
-def _tokens(line: str | Column = "line") -> Column:
-    return F.regexp_extract_all(line, F.lit(TOKEN), F.lit(1))
+def _tokens() -> Column:
+    """The words of a line, and as the last token the object that begins at its first brace, if there is one.
+
+    The object is the rest of the line, so it may nest and hold braces in strings; what does not end in a brace is no object
+    and makes one word too many.
+    """
+    at = F.instr("line", "{")
+    words = F.when(at > 0, F.substring("line", F.lit(1), at - 1)).otherwise(F.col("line"))
+    words = F.filter(F.split(words, r"\s+"), lambda w: w != "")
+    rest = F.substring("line", at, F.length("line"))
+    return F.when(at == 0, words).when(rest.endswith("}"), F.concat(words, F.array(rest))).otherwise(F.concat(words, F.array(rest, F.lit(""))))
 
 
 def _checked(section: Column, good: Column, value: Column, message: str) -> Column:
@@ -60,14 +72,23 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return header, nodes, edges
 
 
-def read_network(spark: SparkSession, path: str) -> tuple[str, Network]:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of one text file, read by as many tasks as it has splits.
+
+    line_no orders lines as they stand in the file: by the split that a line begins in, and within it as read.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def read_network(spark: SparkSession, path: str, create: Callable[[DataFrame], DataFrame] | None = None) -> tuple[str, Network]:
     """The name and network of a graph file; an edge to a node that is not listed is a ValueError.
 
-    The format says where edges begin by a line among lines, so a file is numbered as a whole.
+    create makes the nodes' rows from (id, type, rank, attrs), as by columns taken from attrs; it keeps id.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    lines = Scratch(spark, "graph-file").write(numbered_lines(spark, path), "lines")
     header, nodes, edges = parse_lines(lines)
+    nodes = create(nodes) if create else nodes
     name, directed = header.first()
     edges = edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), "attrs")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -99,10 +120,17 @@ def network_lines(name: str, network: Network, ranks: DataFrame) -> DataFrame:
     return marks.unionByName(nodes).unionByName(edges)
 
 
-def write_network(name: str, network: Network, path: str, n_ranks: int, method: str = "random", seed: int = 42) -> None:
-    """Writes a graph file (one part in a folder) with nodes dealt to n_ranks; the only method here is 'random'."""
-    if method != "random":
+def write_network(name: str, network: Network, path: str, n_ranks: int, method: str = "random", seed: int | None = None, **partition_args) -> None:
+    """Writes a graph file (one part in a folder) with nodes dealt to n_ranks.
+
+    Methods are 'random', and 'near', which cuts few edges (graphs.near_parts, to which partition_args go).
+    """
+    if method == "random":
+        parts = network.random_parts(n_ranks, seed)
+    elif method == "near":
+        parts = near_parts(network, n_ranks, Scratch(network.nodes.sparkSession, "parts").write, **partition_args)
+    else:
         raise ValueError(f"no partition method {method!r}")
-    lines = network_lines(name, network, network.random_parts(n_ranks, seed))
+    lines = network_lines(name, network, parts)
     # a sort before coalesce() may be dropped; the format asks for one file, whose sort can spill
     lines.repartition(1).sortWithinPartitions("section", "a", "b").select("line").write.text(path)

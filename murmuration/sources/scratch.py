@@ -16,10 +16,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is missing, as in tests on one machine, a folder of this process is made and set.
+    Where the setting is missing, a session on one machine gets a folder of this process; a cluster is a ValueError.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="checkpoint-")
         atexit.register(shutil.rmtree, where, True)
         where = f"file://{where}"

@@ -2,8 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.functions.geometry import BorderType, BoundingBox, Tiling
+from murmuration.models import diffusion
+from murmuration.operators import graphs
 from murmuration.operators.network import Network
 from murmuration.operators.raster import ReadWriteLayer, ValueLayer
+from murmuration.operators.tiles import diffuse_tiles
 from murmuration.sources.graph_file import parse_lines, read_network, write_network
 
 EDGE = "src long, dst long, w double"
@@ -69,13 +72,13 @@ def test_parts_are_even(spark):
 
 
 LINES = """friends 0
-1 0 0 {"energy": 23}
-2 0 0 {"energy": 24}
-3 0 1 {"energy": 30}
+1 0 0 {"mood": "calm", "at": {"x": [1, 2]}}
+2 0 0 {"mood": "a } b { c"}
+3 0 1 {"mood": 41}
 4 1 1
 EDGES
-1 2 {"weight": 0.5}
-3 1 {"weight": 0.75}
+1 2 {"since": 1987}
+3 1 {"since": 2003}
 
 4 2"""
 
@@ -87,11 +90,13 @@ def as_lines(spark, text):
 def test_graph_lines(spark):
     header, nodes, edges = parse_lines(as_lines(spark, LINES))
     assert tuple(header.first()) == ("friends", False)
-    assert [(r.id, r.type, r.rank, r.attrs) for r in nodes.orderBy("id").collect()][2:] == [(3, 0, 1, {"energy": "30"}), (4, 1, 1, None)]
-    assert {(r.u, r.v): r.attrs for r in edges.collect()} == {(1, 2): {"weight": "0.5"}, (3, 1): {"weight": "0.75"}, (4, 2): None}
+    rows = [(r.id, r.type, r.rank, r.attrs) for r in nodes.orderBy("id").collect()]
+    assert rows[0][3] == {"mood": "calm", "at": '{"x":[1,2]}'} and rows[1][3] == {"mood": "a } b { c"}
+    assert rows[2:] == [(3, 0, 1, {"mood": "41"}), (4, 1, 1, None)]
+    assert {(r.u, r.v): r.attrs for r in edges.collect()} == {(1, 2): {"since": "1987"}, (3, 1): {"since": "2003"}, (4, 2): None}
 
 
-@pytest.mark.parametrize("bad", ["friends\n1 0 0\nEDGES", "f x\n1 0 0\nEDGES", "f 1\n1 0\nEDGES", "f 1\n1 0 0\nEDGES\n1"])
+@pytest.mark.parametrize("bad", ["friends\n1 0 0\nEDGES", "f x\n1 0 0\nEDGES", "f 1\n1 0\nEDGES", "f 1\n1 0 0\nEDGES\n1", "f 1\n1 0 0 {x\nEDGES"])
 def test_malformed_lines(spark, bad):
     with pytest.raises(Exception, match="not a"):
         for df in parse_lines(as_lines(spark, bad)):
@@ -122,11 +127,87 @@ def test_agent_type_attribute(spark, tmp_path):
     assert {(r.id, r.type, str(r.attrs)) for r in n.nodes.collect()} == {(1, 3, "{'a': 'x'}"), (2, 0, "None")}
 
 
+def test_graph_file_of_many_splits(spark, tmp_path):
+    source = tmp_path / "in.txt"
+    nodes = "\n".join(f'{i} 0 0 {{"n": {i}}}' for i in range(3000))
+    source.write_text(f"big 1\n{nodes}\nEDGES\n" + "\n".join(f"{i} {(i * 7 + 1) % 3000}" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        name, n = read_network(spark, str(source), lambda nodes: nodes.select("id", F.element_at("attrs", "n").alias("n")))
+        assert (name, n.directed, n.edges.count()) == ("big", True, 3000)
+        assert n.nodes.filter("id = n").count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_strict_changes(spark):
+    n = net(spark, [(1, 2, 1.0), (2, 3, 2.0)])
+    other, there = spark.createDataFrame([(2, 1, 7.0), (1, 3, 7.0)], EDGE), spark.createDataFrame([(2, 1, 7.0)], EDGE)
+    for change in (n.update_edges, n.remove_edges):
+        with pytest.raises(KeyError):
+            change(other, strict=True)
+        assert change(there, strict=True).edges.count() in (1, 2)
+    with pytest.raises(KeyError):
+        n.remove_nodes(spark.createDataFrame([(9,)], "id long"), strict=True)
+    # without an order, the greatest value of repeated edges counts, whatever the partitions
+    repeated = spark.createDataFrame([(1, 2, float(k)) for k in range(9)], EDGE).repartition(4)
+    assert {tuple(r) for r in n.add_edges(repeated).edges.collect()} == {(1, 2, 8.0), (2, 3, 2.0)}
+
+
+def test_graph_algorithms(spark):
+    import random
+
+    rng = random.Random(5)
+    keep = lambda df, _: spark.createDataFrame(df.collect(), df.schema)
+    # four groups with many links inside, few between, and a path
+    edges = {(min(a, b), max(a, b)) for g in range(4) for _ in range(60) for a, b in [rng.sample(range(g * 15, g * 15 + 15), 2)]}
+    edges |= {(3, 20), (21, 40)} | {(100 + i, 101 + i) for i in range(30)}
+    n = net(spark, [(a, b, float(a % 4 + 1)) for a, b in edges], nodes=[500])
+    label = {i: i for e in edges for i in e} | {500: 500}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.id: r.component for r in graphs.connected_components(n, keep).collect()} == label
+    reached = {r.id: r.distance for r in graphs.distances(n, spark.createDataFrame([(3,)], "id long"), keep, "w").collect()}
+    far = {3: 0.0}
+    for _ in range(70):
+        for a, b in edges:
+            for x, y in ((a, b), (b, a)):
+                if x in far and far[x] + a % 4 + 1 < far.get(y, 1e9):
+                    far[y] = far[x] + a % 4 + 1
+    assert reached == far
+    ranks = {r.id: r.rank for r in graphs.page_ranks(n, 3, keep).collect()}
+    assert sum(ranks.values()) == pytest.approx(1) and ranks[500] == min(ranks.values())
+    parts = {r.id: r.part for r in graphs.near_parts(n, 4, keep).collect()}
+    sizes = [list(parts.values()).count(k) for k in range(4)]
+    assert sorted(parts) == sorted(label) and max(sizes) - min(sizes) <= 1
+    dealt = {r.id: r.part for r in n.random_parts(4).collect()}
+    cut = lambda p: sum(p[a] != p[b] for a, b in edges)
+    assert cut(parts) < cut(dealt) / 2
+
+
 # --- rasters ---
 
 POINT = "x long, y long, z long"
 
 
+@pytest.mark.parametrize("border", list(BorderType))
+def test_tiles_diffuse_as_columns_do(spark, border):
+    box, periodic = BoundingBox(-3, 23, 5, 17), border == BorderType.PERIODIC
+    layer = ValueLayer.create(spark, box, border, "random")
+    expected = {(r.x, r.y): r.value for r in diffusion.run(layer, 5, 0.2).cells.collect()}
+    for shape, at_once in (((4, 3), 2), ((1, 2), 5), ((1, 1), 3)):
+        got = diffuse_tiles(layer, 5, Tiling(box, shape, periodic), 0.2, at_once).cells.collect()
+        assert {(r.x, r.y): round(r.value, 9) for r in got} == {k: round(v, 9) for k, v in expected.items()}
+    line = ValueLayer.create(spark, BoundingBox(0, 30), border, "random")
+    expected = {r.x: round(r.value, 9) for r in diffusion.run(line, 4).cells.collect()}
+    got = diffuse_tiles(line, 4, Tiling(line.box, (3,), periodic), at_once=4).cells.collect()
+    assert {r.x: round(r.value, 9) for r in got} == expected
+    with pytest.raises(ValueError):
+        diffuse_tiles(layer, 5, Tiling(box, (9, 9), periodic), at_once=4)
+
+
 def test_layer_wraps(spark):
     box = BoundingBox(15, 20, 0, 30, -1, 11)
     layer = ValueLayer.create(spark, box, BorderType.PERIODIC)

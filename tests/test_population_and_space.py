@@ -1,9 +1,12 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from murmuration.functions import draws
 from murmuration.functions.geometry import BorderType, BoundingBox, OccupancyType, Tiling
+from murmuration.operators.network import Network
 from murmuration.operators.population import Population, agent_rows
 from murmuration.operators.space import Space, colocations
 
@@ -144,3 +147,68 @@ def test_random_points_stay_inside(spark):
 def test_periodic_move(spark):
     s = space(spark, [(1, (0, 0, 0), 0)], border=BorderType.PERIODIC).move(moves(spark, [(1, (-1, 12, 5))]))
     assert tuple(s.locations.first())[4:7] == (9, 2, 0)
+
+
+def test_projections_follow(spark):
+    people = Population(spark.createDataFrame([(1, 0, 0, 0, 0), (2, 0, 0, 1, 0)], ROW))
+    space = Space(spark.createDataFrame([(1, 0, 0, 0, 3, 0, 0, 0)], PLACED), BoundingBox(0, 10, 0, 0), tiling=Tiling(BoundingBox(0, 10), (2,)), buffer_size=2)
+    people.add_projection("line", replace(space, box=BoundingBox(0, 10)))
+    people.add_projection("net", Network.create(spark.createDataFrame([], "id long"), spark.createDataFrame([(1, 2)], "src long, dst long")))
+    # what a projection lacks is added when it is registered, and new agents when they come
+    assert sorted(ids(people.get_projection("line").locations)) == [1, 2]
+    people = people.add(spark.createDataFrame([(5, 0, 0, 9, 1)], ROW))
+    assert sorted(ids(people.get_projection("line").locations)) == [1, 2, 5] == sorted(ids(people.get_projection("net").nodes))
+    gone = people.remove(spark.createDataFrame([(1, 0, 0)], "id long, type int, uid_rank int"))
+    assert sorted(ids(gone.get_projection("net").nodes)) == [2, 5] and gone.get_projection("net").edges.count() == 0
+    moved, halos = people.synchronize_with("line")
+    assert {r.id: r.tile for r in moved.df.collect()} == {1: 0, 2: 0, 5: 1} and [(r.id, r.dst_tile) for r in halos["line"].collect()] == [(1, 1)]
+    with pytest.raises(KeyError):
+        people.get_projection("line").move(spark.createDataFrame([(77, 0, 0, 1, 0, 0)], "id long, type int, uid_rank int, x long, y long, z long"), strict=True)
+
+
+def test_changes_and_updates(spark, three):
+    told = three.update(spark.createDataFrame([(2, 0, 0, None)], "id long, type int, uid_rank int, tile int"))
+    assert sorted((r.id, r.type, r.tile) for r in told.df.filter("tile IS NOT NULL").collect()) == [(1, 1, 0), (2, 1, 1)]
+    assert [(r.id, r.type) for r in told.changes(three.df, ["tile"]).collect()] == [(2, 0)]
+    assert three.changes(three.df, ["tile", "seq"]).count() == 0
+
+
+def test_random_points_of_a_tile(spark):
+    tiling = Tiling(BoundingBox(2, 20, -4, 9), (3, 2))
+    agents = spark.range(300).selectExpr("id", "0 AS type", "0 AS uid_rank", "id AS seq", "CAST(id % 6 AS INT) AS tile")
+    for continuous in (False, True):
+        space = Space(None, tiling.box, continuous=continuous, tiling=tiling)
+        got = space.random_tile_points(agents, 3)
+        assert got.count() == 300 and got.filter(tiling.tile_of() != F.col("tile")).count() == 0
+
+
+def test_no_two_streams_of_draws_meet(spark):
+    """Draws of many (seed, tick, number): as few coincide, at any shift of the agents, as chance gives."""
+    import numpy as np
+
+    agents = np.arange(2000)
+    streams = [draws.draw_array(agents, t, n, s) for t in range(12) for n in range(4) for s in (1, 2, 33, 1104, 42)]
+    every = np.round(np.concatenate(streams) * draws.MODULUS).astype(np.int64)
+    chance = len(every) ** 2 / 2 / draws.MODULUS
+    assert len(every) - len(np.unique(every)) < 2 * chance + 50
+    assert abs(np.mean(every) / draws.MODULUS - 0.5) < 0.005
+    # the array form is the column form
+    column = spark.range(50).select(draws.uniform("id", 3, 1, 7)).collect()
+    assert [r[0] for r in column] == list(draws.draw_array(np.arange(50), 3, 1, 7))
+
+
+def test_engine_seed(spark, tmp_path):
+    from murmuration.sources.files import read_parameters
+
+    first = lambda: spark.range(9).select(draws.uniform("id", 1, 0)).collect()
+    before = first()
+    (tmp_path / "p.yaml").write_text("random.seed: 7\n")
+    try:
+        read_parameters(str(tmp_path / "p.yaml"))
+        assert draws.engine_seed() == 7 and first() != before
+        assert spark.range(9).select(draws.uniform("id", 1, 0, 42)).collect() == before
+        assert draws.init() > 10**9
+    finally:
+        draws.init(42)
+    got = spark.range(200).select(draws.integers(-2, 3, "id", 0, 0).alias("n"), draws.choice(F.array(F.lit(4), F.lit(9)), "id", 0, 1).alias("c")).collect()
+    assert {r.n for r in got} == {-2, -1, 0, 1, 2} and {r.c for r in got} == {4, 9}

@@ -94,7 +94,8 @@ def test_order_numbers_and_records():
 def test_event_tables(spark):
     rows = [(1, 0, 1, 0.0), (1, 1, 0, 0.0), (1, 2, 3, 2.0), (1, 3, 3, 1.0), (2, 4, 2, 0.0)]
     df = spark.createDataFrame(rows, "at int, order_idx int, priority_type int, priority double")
-    placed = df.select("order_idx", "at", events.position().alias("p")).filter("at = 1").orderBy("p").collect()
+    keep = lambda df, _: spark.createDataFrame(df.collect(), df.schema)
+    placed = events.placed(df, keep).filter("at = 1").orderBy("place").collect()
     assert [r.order_idx for r in placed] == [1, 3, 2, 0]
     assert events.next_tick(df).first().tick == 1 and events.next_tick(df.limit(0)).first().tick == -1
     assert events.current(df, 2).count() == 1 and events.until_stop(df, 1).count() == 4
