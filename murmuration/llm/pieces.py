@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +150,8 @@ class Encoder:
     """Normalises with source alignment, segments with the sentencepiece library, and projects the pieces.
 
     The pieces of a segmentation, laid end to end, are the normalised text; so their widths in bytes, summed, give each
-    piece's place there, and the alignment its place in the source. That the widths sum to the normalised text's length
-    is checked for every text.
+    piece's place there, and the alignment its place in the source. Where the widths do not sum to the normalised text's
+    length, as with a normalisation that is not known here, the spans are those of the library's own surfaces.
     """
 
     def __init__(self, model: bytes):
@@ -172,11 +173,17 @@ class Encoder:
             widths[1:-1] = [len(p.piece.encode()) if p.id == self.unknown else w for p, w in zip(proto.pieces, widths[1:-1], strict=True)]
         places = np.cumsum(widths)
         if places[-1] != len(normalised):
-            raise ValueError(f"pieces cover {places[-1]} of {len(normalised)} normalised bytes")
+            return self._by_surface(string, ids)
         begin, end = source[places - widths], source[places]
         # bytes that share a source, such as those of one replacement, end where the next source begins
         return Encoding(ids, begin, np.maximum(begin, end))
 
+    def _by_surface(self, string: str, ids: np.ndarray) -> Encoding:
+        """The spans of the pieces' surfaces, which are the source's text laid end to end; marks have none."""
+        widths = [len(p.surface.encode()) for p in self.library.encode(string, return_type="proto").pieces]
+        ends = np.cumsum([0, *widths, 0])
+        return Encoding(ids, np.append(0, ends[:-1]), ends)
+
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
@@ -208,6 +215,13 @@ def _digests(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
         )
 
 
+def public_model() -> bytes:
+    """The content of the public model that the contract names."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, ids, and the source byte span (begins, ends) of every id, for each row. Nothing is shuffled.
 

@@ -31,13 +31,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-TOKENIZERS = "/opt/tokenizers"
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """model: the path of a SentencePiece model; the public one if none is given."""
+    from .pieces import encode_digests, public_model
 
-
-def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    from .pieces import encode_digests
-
-    return encode_digests(table(spark, sf_dir, "documents"), Path(model).read_bytes())
+    return encode_digests(table(spark, sf_dir, "documents"), Path(model).read_bytes() if model else public_model())
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +45,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language import identify, train
+    from .language import identify, models
 
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, train(docs))
+    return identify(docs, models(docs))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

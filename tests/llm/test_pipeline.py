@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 
 import corpus_pipeline
+from murmuration.llm.pieces import public_model
 
 from .conftest import ODD, documents, sentence
 from .test_dedup import near_by_brute_force, shingles
@@ -30,7 +31,7 @@ def expected(docs, items):
     for i in sorted(rest):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rest[i]), i)
     rest = {i: rest[i] for i in first.values()}
-    groups = near_by_brute_force(list(rest.items()))
+    groups = near_by_brute_force(list(rest.items()), corpus_pipeline.NEAR_PERCENT)
     rest = {i: t for i, t in rest.items() if groups[i][2]}
     benchmark = [shingles(t) for _, t in items if t]
     return {i: t for i, t in rest.items() if not any(100 * len(b & shingles(t)) >= 80 * len(b) for b in benchmark)}
@@ -48,7 +49,7 @@ def test_pipeline(spark, frame, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     kept = expected(docs, items)
     assert set(got) == set(kept) and 9000 not in got
-    library = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_proto=public_model())
     for i, t in kept.items():
         ids = library.encode(t, add_bos=True, add_eos=True)
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())

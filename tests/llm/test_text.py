@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from murmuration.llm import chat, language, pii
@@ -18,7 +19,7 @@ from murmuration.llm.sharding import byte_shards
 from .conftest import LONG, ODD, documents, sentence
 from .test_dedup import sha, shingles
 
-MODEL = Path("/opt/tokenizers/piece_bpe_32k.model")
+MODEL = Path(public_tokenizers.path("piece_bpe_32k.model"))
 
 # --- personal data ---
 
@@ -278,14 +279,65 @@ def test_language(frame):
 
 def test_numerals_that_are_no_letters_are_und(frame):
     docs = frame([(i, "the house" if i % 2 else "das haus") for i in range(40)], lang=lambda i: "en" if i % 2 else "de")
-    model = language.train(docs)
+    (model,) = language.train(docs)
     for odd in ("\u00b2", "\u00bd \u00be", "\u2460\u2461", "1\u00b2_"):
-        langs, scores = model.predict(["the house", odd, "the house", odd])
+        langs, scores, _ = model.predict(["the house", odd, "the house", odd])
         assert langs == ["en", "und", "en", "und"] and scores[1] == scores[3] == 0
     # letters among them count
     assert model.predict(["\u00b2 the house"])[0] == ["en"]
 
 
+def grams_by_rule(text):
+    """The 2- and 3-grams of a text over letters and blanks, without those that begin with two blanks."""
+    t = "".join(c if c.isalpha() else " " for c in f" {text.lower()}  ") + "  "
+    at = [i for i in range(len(text.lower()) + 3) if t[i : i + 2] != "  "]
+    return [t[i : i + k] for i in at for k in (2, 3)]
+
+
+def test_language_by_brute_force(frame, monkeypatch):
+    """Naive Bayes over buckets counted one by one, with one matrix and with several."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefgüß") for _ in range(4)) for _ in range(6)] for k in range(7)}
+    texts = {i: " ".join(rng.choice(words[f"l{i % 7:02}"]) for _ in range(rng.randint(1, 9))) for i in range(140)}
+    texts |= {500: "zz yy", 501: "12", 502: None, 503: "abc" * 3000}
+    docs = frame(list(texts.items()), lang=lambda i: None if i >= 500 else f"l{i % 7:02}")
+    bucket = {}
+    for t in texts.values():
+        gs = grams_by_rule(t or "")
+        if gs:
+            bucket.update(zip(gs, language._grams([t])[0].tolist(), strict=True))
+    assert len(bucket) > 100
+    counts = {k: Counter() for k in words}
+    for i, t in texts.items():
+        if i < 500 and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[f"l{i % 7:02}"].update(bucket[g] for g in grams_by_rule(t))
+    for at_once in (64, 3):
+        monkeypatch.setattr(language, "LANGUAGES_AT_ONCE", at_once)
+        got = {r.doc_id: r for r in language.identify(docs, language.models(docs)).collect()}
+        assert len(language.train(docs)) == (1 if at_once == 64 else 3) and len(got) == len(texts)
+        for i, t in texts.items():
+            gs = [bucket[g] for g in grams_by_rule(t or "")]
+            if not any(c.isalpha() for c in t or ""):
+                assert (got[i].lang_pred, got[i].score, got[i].per_gram) == ("und", 0, 0)
+                continue
+            logs = {k: sum(math.log((c[g] + 1) / (c.total() + language.BUCKETS)) for g in gs) for k, c in counts.items()}
+            top = max(logs.values())
+            assert logs[got[i].lang_pred] >= top - 1e-3 * len(gs)
+            assert got[i].score == pytest.approx(1 / sum(math.exp(x - top) for x in logs.values()), abs=1e-2)
+            assert got[i].per_gram == pytest.approx(top / len(gs), abs=1e-3)
+
+
+def test_texts_in_no_language_are_rejected(frame):
+    docs = frame([(i, ("the house of the people " if i % 2 else "das haus der leute ") * 300) for i in range(40)], lang=lambda i: "en" if i % 2 else "de")
+    (model,) = language.train(docs)
+    told = language.rejected(*model.predict(["the people", "die leute", None, "", "12", "xqzj qxvw zzkq wvxq jjqz", "e"]))
+    assert told.tolist()[:6] == [False, False, True, True, True, True]
+
+
 # --- chat ---
 
 
