@@ -7,7 +7,7 @@ stage's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from functools import partial
-from pathlib import Path
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from murmuration.llm.common import Scratch, importable, partitions, small_or_shuffled, table
 from murmuration.llm.decontaminate import contaminated
 from murmuration.llm.exact_dedup import exact_groups
-from murmuration.llm.language import train
+from murmuration.llm.language import LEAST_PER_GRAM, LEAST_SCORE, has_letter, identify, models, rejected
 from murmuration.llm.near_dedup import near_groups
-from murmuration.llm.pieces import encode_digests
+from murmuration.llm.pieces import encode_digests, public_model
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Near copies share this Jaccard similarity of word shingles, in percent.
+NEAR_PERCENT = 80
 
 
 ROW = "_row"
@@ -51,23 +52,48 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(small_or_shuffled(named), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
 
 
-def _identified(batches, model, at: int):
+def _lettered(batches, at: int):
     for b in batches:
-        languages, _ = model.value.predict(b.column(at).cast(pa.string()).to_pylist())
-        yield b.filter(pa.array([x != "und" for x in languages], pa.bool_()))
+        yield b.filter(pa.array([has_letter(t) for t in b.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
+
+
+def _told(batches, model, at: int):
+    for b in batches:
+        yield b.filter(pa.array(~rejected(*model.value.predict(b.column(at).cast(pa.string()).to_pylist()))))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go, in the scan itself."""
+    """Documents whose language can be told.
+
+    Those without a letter go, those of which no language has half the posterior, and those whose grams would be likelier
+    if drawn evenly than from the likeliest language. Without any label, documents with a letter stay. With the languages of
+    one matrix the scan itself decides; more take identify(), whose decisions name rows.
+
+    Null and empty texts go; texts of any length are read whole; rows with a null id, repeated rows and columns of any other
+    name come through as they are; an empty table gives no rows.
+    """
     importable(spark)
-    model = spark.sparkContext.broadcast(train(docs))
-    if not model.value.languages:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return docs.mapInArrow(partial(_identified, model=model, at=docs.columns.index("text")), docs.schema)
+    learnt = models(docs)
+    first, second = next(learnt, None), next(learnt, None)
+    at = docs.columns.index("text")
+    if first is None:
+        return docs.mapInArrow(partial(_lettered, at=at), docs.schema)
+    if second is None:
+        return docs.mapInArrow(partial(_told, model=spark.sparkContext.broadcast(first), at=at), docs.schema)
+    scratch = Scratch(spark, "stage-language")
+    rows = _rows(docs, scratch)
+    found = identify(_named(rows), chain([first, second], learnt))
+    unknown = (F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE) | (F.col("per_gram") < LEAST_PER_GRAM)
+    return _without(rows, scratch.write(found.filter(unknown).select("doc_id"), "dropped"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts, whether rows repeat an id, have none or neither."""
+    """One row of each set of equal texts, white space runs counting as one space.
+
+    The row with the smallest id stays, one without an id before all others, and of rows with one id the first read. Null
+    texts equal empty ones; long texts are compared whole; columns of any other name come through; an empty table gives
+    no rows.
+    """
     importable(spark)
     scratch = Scratch(spark, "stage-exact")
     rows = _rows(docs, scratch)
@@ -75,15 +101,26 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row, by id, of each group of near copies."""
+    """One row of each group of near copies: word shingles of five with a Jaccard similarity of NEAR_PERCENT or more, or
+    a chain of such links.
+
+    The row with the smallest id stays, one without an id before all others, and of rows with one id the first read. Null,
+    empty and blank texts have no shingles and all stay; long texts are read whole; columns of any other name come
+    through; an empty table gives no rows.
+    """
     importable(spark)
     scratch = Scratch(spark, "stage-near")
     rows = _rows(docs, scratch)
-    return _without(rows, scratch.write(near_groups(_named(rows)).filter("NOT kept").select("doc_id"), "dropped"))
+    return _without(rows, scratch.write(near_groups(_named(rows), NEAR_PERCENT).filter("NOT kept").select("doc_id"), "dropped"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that do not hold four fifths of the word shingles of a benchmark item.
+
+    Each row is decided by its own text, with an id, without one or with another row's. Null and empty texts stay; long
+    texts are searched whole; columns of any other name come through; an empty table gives no rows, an empty benchmark
+    all of them.
+    """
     scratch = Scratch(spark, "stage-leaks")
     rows = _rows(docs, scratch)
     found = contaminated(_named(rows), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
@@ -91,9 +128,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of each remaining document's ids, decoded text and source spans."""
+    """Counts and digests of each remaining document's ids, decoded text and source spans.
+
+    A null text is encoded as an empty one, a long text whole; rows that share an id or have none have a row each; other
+    columns are not read; an empty table gives no rows.
+    """
     importable(spark)
-    return encode_digests(docs, Path(MODEL).read_bytes())
+    return encode_digests(docs, public_model())
 
 
 STAGES = [
