@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -11,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, texts
+from .shingles import values
 
 BLOCK_BYTES = 4096
+#: A block is hot if more than one in so many blocks of the table equals it; so there are fewer hot ones than this.
+HOT_SHARE = 2000
 
 _OCCURRENCE = pa.struct([("uid", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("sha", pa.string())])
-_BLOCKS = "block binary, at array<struct<uid: long, doc_id: long, pos: int, n: int, sha: string>>"
+_BLOCKS = "block binary, name long, at array<struct<uid: long, doc_id: long, pos: int, n: int, sha: string>>"
 _NAMED = "uid long, doc_id long, pos int, n int, sha string, name long"
 _SPACE = b" \t\n\v\f\r"
 
@@ -28,21 +33,59 @@ def normalised(text: bytes) -> bytes:
     return (b" " if text[0] in _SPACE else b"") + out + (b" " if text[-1] in _SPACE else b"")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of each batch, every distinct one once with the list of its places.
+def _blocks(text: bytes) -> list[bytes]:
+    return [text[k : k + BLOCK_BYTES] for k in range(0, max(1, len(text)), BLOCK_BYTES)]
 
-    A frequent block thus leaves a task once a batch, not once a document.
+
+def _number(block: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(block, digest_size=8).digest(), "little", signed=True)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each block's number occurs in a batch."""
+    for b in batches:
+        counts = Counter(x for text in values(b.column("text")) for x in _blocks(normalised(text)))
+        yield pa.RecordBatch.from_arrays([pa.array([_number(x) for x in counts], pa.int64()), pa.array(counts.values(), pa.int64())], names=["number", "n"])
+
+
+def _shown(batches: Iterator[pa.RecordBatch], numbers: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a batch that have one of the numbers, each once."""
+    for b in batches:
+        found = {x for text in values(b.column("text")) for x in _blocks(normalised(text))}
+        yield pa.RecordBatch.from_arrays([pa.array([x for x in found if _number(x) in numbers], pa.binary())], names=["block"])
+
+
+def _hot_blocks(source: DataFrame) -> list[bytes]:
+    """Blocks that make up more than one in HOT_SHARE of all, in order: fewer than HOT_SHARE, 8 MB at most, but for those
+    that share a number with one of them.
+
+    Counts by a block's 64-bit number find them; the blocks themselves come in a second pass, if there are any.
     """
+    counts = source.select("text").mapInArrow(_counted, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    most = counts.orderBy(F.desc("n")).limit(HOT_SHARE)
+    every = counts.agg(F.sum("n").alias("total"))
+    hot = most.join(F.broadcast(every), how="cross").filter(F.col("n") * HOT_SHARE > F.col("total")).filter("n > 1")
+    numbers = frozenset(r.number for r in hot.collect())
+    if not numbers:
+        return []
+    shown = source.select("text").mapInArrow(partial(_shown, numbers=numbers), "block binary").distinct()
+    return sorted(bytes(r.block) for r in shown.collect())
+
+
+def _cut(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
+    """Blocks of each batch, every distinct one once with the list of its places. Hot ones have a name and no bytes."""
     for b in batches:
         at: dict[bytes, list[tuple]] = {}
-        for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), values(b.column("text")), strict=True):
             text = normalised(text)
-            n = max(1, -(-len(text) // BLOCK_BYTES))
-            for pos in range(n):
+            blocks = _blocks(text)
+            for pos, block in enumerate(blocks):
                 sha = hashlib.sha256(text).hexdigest() if pos == 0 else None
-                at.setdefault(text[pos * BLOCK_BYTES : (pos + 1) * BLOCK_BYTES], []).append((uid, doc_id, pos, n, sha))
+                at.setdefault(block, []).append((uid, doc_id, pos, len(blocks), sha))
         if at:
-            yield pa.RecordBatch.from_arrays([pa.array(at.keys(), pa.binary()), _lists(at.values())], names=["block", "at"])
+            names = [hot.value.get(x) for x in at]
+            blocks = [x if name is None else None for x, name in zip(at, names, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array(names, pa.int64()), _lists(at.values())], names=["block", "name", "at"])
 
 
 def _lists(groups) -> pa.ListArray:
@@ -61,10 +104,10 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         blocks, lists = b.column("block").to_pylist(), b.column("at")
         names, counts = [], lists.value_lengths().to_pylist()
-        for block in blocks:
-            if block != last:
+        for block, name in zip(blocks, b.column("name").to_pylist(), strict=True):
+            if name is None and block != last:
                 run, last = run + 1, block
-            names.append(base + run)
+            names.append(base + run if name is None else name)
         flat = lists.flatten()
         repeated = [name for name, k in zip(names, counts, strict=True) for _ in range(k)]
         yield pa.RecordBatch.from_arrays([*flat.flatten(), pa.array(repeated, pa.int64())], names=["uid", "doc_id", "pos", "n", "sha", "name"])
@@ -75,9 +118,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Fixed-size blocks are sorted and named by integers; then adjacent names are paired and the distinct pairs are named
     in turn, until each document has one name. Blocks and pairs are compared themselves, so that no hash decides:
-    equal names mean equal texts. The text is shuffled once.
+    equal names mean equal texts. The text is shuffled once, but for blocks that a large share of the table has: these are
+    known beforehand and named where they are read, so that no task gets all places of one.
 
-    Null text counts as empty; all empty texts are equal. Of rows with one text the smallest doc_id stays (null ids
+    Texts of any length are read whole. Null text counts as empty; all empty texts are equal. Of rows with one text the smallest doc_id stays (null ids
     sort first); of rows that repeat the id as well, the first read. Empty tables give no rows; other columns are not
     read.
 
@@ -86,7 +130,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch, n_parts = Scratch(spark, "exact"), partitions(docs.sparkSession)
     source = texts(docs, F.monotonically_increasing_id().alias("uid"))
-    blocks = source.mapInArrow(_cut, _BLOCKS).repartition(n_parts, "block").sortWithinPartitions("block")
+    hot = spark.sparkContext.broadcast({block: -2 - k for k, block in enumerate(_hot_blocks(source))})
+    # -1 stands for no block; hot blocks are dealt to all parts, by the place of one of their documents, and sort before the others
+    spread = F.when(F.col("name").isNotNull(), F.col("at")[0].uid)
+    blocks = source.mapInArrow(partial(_cut, hot=hot), _BLOCKS).repartition(n_parts, "block", spread).sortWithinPartitions("block")
     names = scratch.write(blocks.mapInArrow(_name, _NAMED), "names")
 
     longest = names.agg(F.max("n")).first()[0] or 0
