@@ -18,6 +18,9 @@ from .shingles import WORDS, shingle_hashes, slices, values, word_hashes
 PERCENT = 80
 #: Minima kept of an item whose set has 2^k to 2^(k+1) shingles: twice 2^(k+1), within these bounds.
 LEAST_HASHES, MOST_HASHES = 32, 256
+#: How far under the threshold an estimate may lie for the sets to be compared: an item at it is missed with a chance under
+#: 1e-11, as 8 of 32 minima or more are asked for.
+DEVIATIONS = 8
 #: Shingles of items that one search holds in every task, about; a larger benchmark is searched for in several blocks.
 BLOCK_SHINGLES = 1 << 21
 _FILTER_BITS = 22
@@ -79,9 +82,9 @@ class WidthIndex:
         both, where = np.unique(owner, return_inverse=True)
         hits = np.bincount(where, self.weight[at])
         text, item = np.divmod(both, len(self.ids))
-        # the share of minima found estimates containment; six standard deviations below the threshold stay
+        # the share of minima found estimates containment; DEVIATIONS standard deviations below the threshold stay
         n, p = self.hashes[item], PERCENT / 100
-        likely = hits >= n * p - 6 * np.sqrt(n * p * (1 - p))
+        likely = hits >= n * p - DEVIATIONS * np.sqrt(n * p * (1 - p))
         for t, k in zip(text[likely].tolist(), item[likely].tolist(), strict=True):
             own = self.sets[k]
             shared = int(np.isin(own, shingles[starts[t] : starts[t + 1]]).sum())
@@ -122,10 +125,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     so the share of minima met in the whole document estimates containment, and what passes is verified on the full
     sets. Documents are only mapped over. The items' index is broadcast, in blocks of about BLOCK_SHINGLES.
 
-    Words as in near_groups(); an item of fewer than five words is one run of that many words. Null, empty and blank
-    texts match nothing. Repeated rows give repeated pairs, items with equal texts a pair each; an
-    item without an id is found under a null item_id. Other columns are not
-    read; an empty table on either side gives no rows.
+    Documents without an id are found under a null doc_id, and texts of any length are searched whole. Words as in near_groups(); an item of fewer than five words is one run of that many words. Null, empty and blank
+    texts match nothing. Repeated rows give repeated pairs, items with equal texts a pair each; an item without an id
+    is found under a null item_id. Other columns are not read; an empty table on either side gives no rows.
 
     Returns doc_id, item_id, n_item (the item's shingles), n_shared.
     """
