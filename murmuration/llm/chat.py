@@ -43,16 +43,17 @@ class TokenCosts:
 
 @dataclass
 class Flattener:
-    """Visits typed parts in order: texts are escaped, others leave a numbered placeholder, a reference and a count."""
+    """Visits typed parts in order: texts are escaped, others leave a numbered placeholder, a reference and a count.
+
+    A part of a type that has no visitor leaves a placeholder of kind unknown, which expands to nothing.
+    """
 
     costs: TokenCosts = field(default_factory=TokenCosts)
     attachments: list[tuple[int, str, str, int]] = field(default_factory=list)
 
     def visit(self, part: dict) -> str:
         handler = getattr(self, f"visit_{part.get('type')}", None)
-        if handler is None:
-            raise ValueError(f"unknown part type {part.get('type')!r}")
-        return handler(part)
+        return handler(part) if handler else self._attach("unknown", part, 0)
 
     def visit_text(self, part: dict) -> str:
         return escape(part.get("text") or "")
@@ -126,8 +127,9 @@ def format_conversations(turns: DataFrame, content: str = "text") -> DataFrame:
 
     content: the column that holds a string, or an array of structs with type and, by type, text, ref, width, height,
     seconds, pages. A conversation's text is its turns' laid end to end in order of turn (then role and text, where turns
-    repeat). Nothing is shuffled, so a conversation of any length spreads over tasks. Null roles and contents count as
-    empty; an empty table gives no rows; other columns are not read.
+    repeat; null turns come first). Nothing is shuffled, so a conversation of any length spreads over tasks. Null roles and
+    contents count as empty; turns without a conv_id keep that, and read as one conversation; repeated turns all count; an
+    empty table gives no rows; other columns are not read.
     """
     return turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col(content).alias("content")
@@ -177,7 +179,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, digests of what the formatted text says, read from that text alone.
 
     A digest of a conversation takes its bytes in order, so its turns meet in one task, which streams them: memory does
-    not grow with a conversation.
+    not grow with a conversation, nor with the number of its turns. Turns without a conv_id are one conversation, whose id
+    is null. An empty table gives no rows; other columns are not read.
     """
     ordered = formatted.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     return ordered.select("conv_id", "formatted", "loss_begin", "loss_end").mapInArrow(_read_back, _DIGESTS)

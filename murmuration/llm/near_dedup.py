@@ -110,7 +110,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     but by the chance that BANDS states. Components come from large-star and small-star.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than five words has its whole sequence as
-    one shingle; null, empty and blank texts have none and are linked with nothing, as are rows without an id. Rows that
+    one shingle; null, empty and blank texts have none and are linked with nothing, as are rows without an id. Texts of any
+    length are read whole. Rows that
     share an id count as one document. Other columns are not read; an empty table gives no rows.
 
     Returns doc_id, n_shingles, component_id, kept.

@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     GROUP_STRINGS strings (a short frequent line, say, with other text around it each time) is cut again, into its windows,
     which meet by digest; so no task holds more than a batch, a group of that many strings and a shard.
 
-    Null text counts as empty; texts under LENGTH bytes stay. Null ids come first; rows that share an id follow each other
+    Texts of any length are read whole, in slices. Null text counts as empty; texts under LENGTH bytes stay. Null ids come first; rows that share an id follow each other
     as read. Other columns are not read; an empty table gives no rows.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).

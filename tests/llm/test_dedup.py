@@ -50,6 +50,26 @@ def test_exact_groups(frame):
     assert len(got) == len(docs)
 
 
+def test_exact_groups_with_hot_blocks(frame, monkeypatch):
+    """A text that a third of the rows have, alone and as the beginning of longer ones, is named where it is read."""
+    from murmuration.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "BLOCK_BYTES", 16)
+    head = "0123456789abcdef"
+    docs = [(i, head if i % 3 == 0 else f"{head}{i % 7}" if i % 3 == 1 else f"own text {i % 400}") for i in range(900)]
+    docs += [(2000 + i, head * 3 if i % 2 else head * 2 + "x") for i in range(40)]
+    source = frame(docs).selectExpr("doc_id", "CAST(text AS binary) AS text")
+    for share, hot in ((2000, None), (10, [head.encode()])):
+        monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+        assert hot is None or exact_dedup._hot_blocks(source) == hot
+        first, size = {}, {}
+        for i, t in docs:
+            first.setdefault(t, i)
+            size[t] = size.get(t, 0) + 1
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_groups(frame(docs)).collect()}
+        assert got == {i: (first[t], size[t], first[t] == i) for i, t in docs}
+
+
 def test_exact_groups_of_odd_rows(frame):
     got = exact_groups(frame(ODD)).collect()
     assert len(got) == len(ODD)
@@ -221,6 +241,23 @@ def test_lines(frame):
     assert got == lines_by_brute_force(docs)
 
 
+def test_lines_of_a_large_group(frame):
+    """Many near copies of one line, each with its own words changed: found in full, whichever share decides a line."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"word{k}" for k in range(40)]
+    lines = []
+    for i in range(400):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(40)] = f"other{rng.randrange(30)}"
+        lines.append(" ".join(own))
+    docs = [(i, f"{t}\nend {i} of it") for i, t in enumerate(lines)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(frame(docs)).collect()}
+    assert got == lines_by_brute_force(docs) and 200 < sum(n for _, n, _ in got.values()) < 400
+
+
 def test_lines_of_odd_rows(frame):
     rows = dedup_lines(frame(ODD)).collect()
     assert len(rows) == len(ODD)
