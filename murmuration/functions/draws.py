@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODULUS = 2147483647
@@ -72,6 +72,18 @@ def draw(agent: Column | str, tick: int | Column, number: int, seed: int | None
     return _mixed(_key(agent, tick, number, seed))
 
 
+def with_draws(df: DataFrame, name: str, agents: Column, tick: int, number: int, seed: int | None = None) -> DataFrame:
+    """df with an array of draw() for an array of agents.
+
+    Inside lambdas nothing is evaluated once for several uses, so the steps of the mix, each used twice, are columns.
+    """
+    stream = _key(0, tick, number, seed) - _spread(0)
+    out = df.withColumn("_a", F.transform(F.transform(agents, lambda x: x % MODULUS * 16807 % MODULUS), lambda y: ((y * y + 977) % MODULUS + stream) % MODULUS * 48271 % MODULUS))
+    out = out.withColumn("_b", F.transform("_a", lambda a: (a * a + 12345) % MODULUS))
+    out = out.withColumn("_c", F.zip_with("_b", "_a", lambda b, a: (b * 69621 + a) % MODULUS))
+    return out.withColumn(name, F.zip_with("_c", "_b", lambda c, b: (c * c + b) % MODULUS)).drop("_a", "_b", "_c")
+
+
 def uniform(agent: Column | str, tick: int | Column, number: int, seed: int | None = None) -> Column:
     """A number in [0, 1)."""
     return draw(agent, tick, number, seed) / F.lit(float(MODULUS))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import with_draws
 from ..functions.geometry import BorderType, BoundingBox, bordered, neighbours
 
 HUMAN, ZOMBIE = 0, 1
@@ -38,7 +38,7 @@ def _placed(df: DataFrame, box: BoundingBox) -> DataFrame:
 
 
 def _goals(movers: DataFrame, others: DataFrame, most: bool, box: BoundingBox) -> DataFrame:
-    """(cx, cy, goals): for cells of movers, the cells around with most, or fewest, of the others, in order.
+    """(cx, cy, goals): for cells of movers, the ordinals of the cells around with most, or fewest, of the others.
 
     Goals are found once a cell, not once a mover. Where movers flee, only cells beside the others are listed: a cell that is
     left out has none of them near, so that all cells around it are its goals.
@@ -48,11 +48,10 @@ def _goals(movers: DataFrame, others: DataFrame, most: bool, box: BoundingBox) -
     cells = movers.select("cx", "cy").distinct() if most else _beside(counts, box)
     listed = cells.select("cx", "cy", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0).alias("z"))
     listed = listed.select("cx", "cy", F.explode(around).alias("c")).select("cx", "cy", "c.ordinal", "c.x", "c.y")
-    counted = listed.join(counts, ["x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = F.max if most else F.min
-    found = counted.groupBy("cx", "cy").agg(best("n").alias("best"), F.collect_list(F.struct("ordinal", "x", "y", "n")).alias("all"))  # nine at most
-    tied = F.transform(F.filter("all", lambda g: g.n == F.col("best")), lambda g: F.struct(g.ordinal.alias("ordinal"), g.x.alias("x"), g.y.alias("y")))
-    return found.select("cx", "cy", tied.alias("goals"))
+    counted = listed.join(counts, ["x", "y"], "left").select("cx", "cy", F.coalesce("n", F.lit(0)).alias("n"), F.col("ordinal").cast("long").alias("ordinal"))
+    tied = counted.groupBy("cx", "cy", "n").agg(F.array_sort(F.collect_list("ordinal")).alias("goals"))  # nine at most to a cell
+    best = (F.max_by if most else F.min_by)("goals", "n")
+    return tied.groupBy("cx", "cy").agg(best.alias("goals"))
 
 
 def _beside(counts: DataFrame, box: BoundingBox) -> DataFrame:
@@ -63,25 +62,29 @@ def _beside(counts: DataFrame, box: BoundingBox) -> DataFrame:
     return near.filter(F.col("cx").between(x0, x1) & F.col("cy").between(y0, y1)).distinct()
 
 
-def _chosen(movers: DataFrame, others: DataFrame, most: bool, tick: int, draw_number: int, box: BoundingBox, seed: int | None) -> DataFrame:
-    """seq and the chosen cell around each mover: that with most, or fewest, of the others; ties fall to a draw.
+def _with_goal(state: DataFrame, movers: Column, goals: DataFrame, most: bool, tick: int, draw_number: int, box: BoundingBox, seed: int | None) -> DataFrame:
+    """The state with gx and gy: the cell that each mover heads for, null for others; ties fall to a draw.
 
-    Counts by cell are aggregated first, so a crowded cell is one row of the join.
+    Goals lie by cell, so they are joined to the agents as these are: where they are few, no agent is shuffled.
     """
-    own = movers.select("seq", "cx", "cy").join(_goals(movers, others, most, box), ["cx", "cy"], "left")
-    around = neighbours(limits(box), False, top_first=True)
-    listed = own.select("seq", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0).alias("z"), "goals")
-    every = F.transform(around, lambda c: F.struct(c.ordinal.alias("ordinal"), c.x.alias("x"), c.y.alias("y")))
-    listed = listed.select("seq", F.coalesce("goals", every).alias("goals"))
-    tie = lambda g: F.struct(draw(F.col("seq") * 9 + g.ordinal, tick, draw_number, seed).alias("d"), g.ordinal.alias("ordinal"), g.x.alias("x"), g.y.alias("y"))
-    drawn = F.transform("goals", tie)
-    goal = (F.array_max if most else F.array_min)(drawn)
-    return listed.select("seq", goal.alias("goal")).select("seq", F.col("goal.x").alias("gx"), F.col("goal.y").alias("gy"))
-
-
-def _moved(state: DataFrame, goals: DataFrame, length: float, tick: int, phase: int, box: BoundingBox) -> DataFrame:
-    """The state with movers a part of the way to their goals; arrival is renewed where the cell changes."""
-    both = state.join(goals, "seq", "left")
+    near = state.join(goals, ["cx", "cy"], "left")
+    steps = [(k % 3 - 1, 1 - k // 3) for k in range(9)]  # the top row first
+    (x0, x1), (y0, y1) = limits(box)
+    inside = [F.when((F.col("cx") + dx).between(x0, x1) & (F.col("cy") + dy).between(y0, y1), F.lit(k).cast("long")) for k, (dx, dy) in enumerate(steps)]
+    interior = (F.col("cx") > x0) & (F.col("cx") < x1) & (F.col("cy") > y0) & (F.col("cy") < y1)
+    every = F.when(interior, F.array(*(F.lit(k).cast("long") for k in range(9)))).otherwise(F.filter(F.array(*inside), lambda k: k.isNotNull()))
+    near = near.withColumn("goals", F.when(movers, F.coalesce("goals", every)))
+    # of a single goal there is nothing to draw
+    drawn = with_draws(near, "drawn", F.when(F.size("goals") > 1, F.transform("goals", lambda k: F.col("seq") * 9 + k)), tick, draw_number, seed)
+    best = F.array_max if most else F.array_min
+    score = best(F.zip_with("drawn", "goals", lambda d, k: d * 16 + k)) % 16
+    picked = drawn.withColumn("pick", F.coalesce(score, F.get("goals", F.lit(0))))
+    gx, gy = F.col("cx") + F.col("pick") % 3 - 1, F.col("cy") + 1 - F.floor(F.col("pick") / 3)
+    return picked.select(*STATE, gx.alias("gx"), gy.alias("gy"))
+
+
+def _moved(both: DataFrame, length: float, tick: int, phase: int, box: BoundingBox) -> DataFrame:
+    """Agents with goals (gx, gy) a part of the way to them; arrival is renewed where the cell changes."""
     goes = F.col("gx").isNotNull() & ((F.col("gx") != F.col("cx")) | (F.col("gy") != F.col("cy")))
     to = [F.when(goes, F.col(c) + (F.col(f"g{c}") - F.col(f"c{c}")) * length).otherwise(F.col(c)) for c in ("x", "y")]
     # who stays keeps point and cell: a clipped point's floor can differ from the cell it came from
@@ -95,21 +98,29 @@ def _moved(state: DataFrame, goals: DataFrame, length: float, tick: int, phase:
 
 
 def step(state: DataFrame, tick: int, box: BoundingBox, seed: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """One tick: zombies move and infect, then humans fall, or move. Each phase sees the state that the one before left."""
-    keep = keep or (lambda df, _: df)
-    humans, zombies = (state.filter(F.col("type") == k) for k in (HUMAN, ZOMBIE))
-    state = keep(_moved(state, _chosen(zombies, humans, True, tick, 1, box, seed), ZOMBIE_STEP, tick, 0, box), f"chase{tick}")
+    """One tick: zombies move and infect, then humans fall, or move. Each phase sees the state that the one before left.
 
-    humans, zombies = (state.filter(F.col("type") == k) for k in (HUMAN, ZOMBIE))
-    first = humans.groupBy("cx", "cy").agg(F.min_by("seq", F.struct("arrival_seq", "seq")).alias("seq"))
-    bitten = first.join(zombies.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi").select("seq", F.lit(True).alias("bitten"))
+    keep(df, name) writes a table and returns it. What is kept by cell is then of a known size, so Spark broadcasts it to the
+    agents where it is small, and shuffles both where it is not.
+    """
+    keep = keep or (lambda df, _: df)
+    human, zombie = F.col("type") == HUMAN, F.col("type") == ZOMBIE
+    goals = keep(_goals(state.filter(zombie), state.filter(human), True, box), f"prey{tick}")
+    headed = _with_goal(state, zombie, goals, True, tick, 1, box, seed)
+    state = keep(_moved(headed, ZOMBIE_STEP, tick, 0, box), f"chase{tick}")
+
+    # only cells with a zombie matter to who is bitten: the humans elsewhere leave before any of them are ordered
+    cells = state.filter(zombie).select("cx", "cy").distinct()
+    first = state.filter(human).join(cells, ["cx", "cy"], "left_semi").groupBy("cx", "cy").agg(F.min_by("seq", F.struct("arrival_seq", "seq")).alias("seq"))
+    bitten = keep(first.select("seq", F.lit(True).alias("bitten")), f"bitten{tick}")
     bitten = state.join(bitten, "seq", "left").withColumn("infected", F.col("infected") | F.coalesce("bitten", F.lit(False)))
-    ill = (F.col("type") == HUMAN) & F.col("infected")
+    ill = human & F.col("infected")
     bitten = bitten.withColumn("duration", F.col("duration") + F.when(ill, 1).otherwise(0)).select(*STATE)
 
-    alive = bitten.filter((F.col("type") == HUMAN) & (F.col("duration") < TICKS_TO_DIE))
-    zombies = bitten.filter(F.col("type") == ZOMBIE)
-    moved = _moved(bitten, _chosen(alive, zombies, False, tick, 2, box, seed), HUMAN_STEP, tick, 1, box)
+    alive = human & (F.col("duration") < TICKS_TO_DIE)
+    # who is near zombies is the same for the bitten state: a bite moves nobody
+    goals = keep(_goals(state.filter(human), state.filter(zombie), False, box), f"threats{tick}")
+    moved = _moved(_with_goal(bitten, alive, goals, False, tick, 2, box, seed), HUMAN_STEP, tick, 1, box)
     dead = (F.col("type") == HUMAN) & (F.col("duration") >= TICKS_TO_DIE)
     changes = {
         "seq": F.when(dead, F.col("seq") + REBORN).otherwise(F.col("seq")),
