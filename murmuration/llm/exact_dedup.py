@@ -16,6 +16,8 @@ from .common import Scratch, partitions, texts
 from .shingles import values
 
 BLOCK_BYTES = 4096
+#: Bytes of text whose blocks a task sends on together, about.
+SLICE_BYTES = 1 << 22
 #: A block is hot if more than one in so many blocks of the table equals it; so there are fewer hot ones than this.
 HOT_SHARE = 2000
 
@@ -44,15 +46,15 @@ def _number(block: bytes) -> int:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each block's number occurs in a batch."""
     for b in batches:
-        counts = Counter(x for text in values(b.column("text")) for x in _blocks(normalised(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([_number(x) for x in counts], pa.int64()), pa.array(counts.values(), pa.int64())], names=["number", "n"])
+        counts = Counter(_number(x) for text in values(b.column("text")) for x in _blocks(normalised(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], names=["number", "n"])
 
 
 def _shown(batches: Iterator[pa.RecordBatch], numbers: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """The blocks of a batch that have one of the numbers, each once."""
     for b in batches:
-        found = {x for text in values(b.column("text")) for x in _blocks(normalised(text))}
-        yield pa.RecordBatch.from_arrays([pa.array([x for x in found if _number(x) in numbers], pa.binary())], names=["block"])
+        found = {x for text in values(b.column("text")) for x in _blocks(normalised(text)) if _number(x) in numbers}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["block"])
 
 
 def _hot_blocks(source: DataFrame) -> list[bytes]:
@@ -73,19 +75,28 @@ def _hot_blocks(source: DataFrame) -> list[bytes]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
-    """Blocks of each batch, every distinct one once with the list of its places. Hot ones have a name and no bytes."""
+    """Blocks, every distinct one of SLICE_BYTES of text once with the list of its places. Hot ones have a name and no bytes."""
+
+    def emitted(at: dict[bytes, list[tuple]]) -> pa.RecordBatch:
+        names = [hot.value.get(x) for x in at]
+        blocks = [x if name is None else None for x, name in zip(at, names, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array(names, pa.int64()), _lists(at.values())], names=["block", "name", "at"])
+
     for b in batches:
         at: dict[bytes, list[tuple]] = {}
+        size = 0
         for uid, doc_id, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), values(b.column("text")), strict=True):
             text = normalised(text)
             blocks = _blocks(text)
             for pos, block in enumerate(blocks):
                 sha = hashlib.sha256(text).hexdigest() if pos == 0 else None
                 at.setdefault(block, []).append((uid, doc_id, pos, len(blocks), sha))
+            size += len(text)
+            if size >= SLICE_BYTES:
+                yield emitted(at)
+                at, size = {}, 0
         if at:
-            names = [hot.value.get(x) for x in at]
-            blocks = [x if name is None else None for x, name in zip(at, names, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary()), pa.array(names, pa.int64()), _lists(at.values())], names=["block", "name", "at"])
+            yield emitted(at)
 
 
 def _lists(groups) -> pa.ListArray:
@@ -102,7 +113,7 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names for the runs of equal blocks in a sorted partition: its number, then the run's place. Holds one batch."""
     base, run, last = TaskContext.get().partitionId() << 40, -1, None
     for b in batches:
-        blocks, lists = b.column("block").to_pylist(), b.column("at")
+        blocks, lists = values(b.column("block")), b.column("at")
         names, counts = [], lists.value_lengths().to_pylist()
         for block, name in zip(blocks, b.column("name").to_pylist(), strict=True):
             if name is None and block != last:
@@ -154,6 +165,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     if level:
         long = heads.filter("n > 1").drop("name").join(current.select("uid", "name"), "uid")
         whole = scratch.write(whole.unionByName(long), "whole")
+        for name in ("names", *(f"{part}{k}" for k in range(level) for part in ("pairs", "level"))):
+            scratch.drop(name)
     first = F.min(F.struct("doc_id", "uid")).alias("first")
     groups = whole.groupBy("n", "name").agg(first, F.count("*").alias("size")).filter("size > 1")
     groups = scratch.write(groups, "groups")
