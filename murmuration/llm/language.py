@@ -20,8 +20,9 @@ TRAIN_DOCS = 4000
 #: Languages of one matrix, so that what every task gets stays at 8 MB; more languages are several matrices.
 LANGUAGES_AT_ONCE = 64
 SLICE_CHARS = 1 << 19
-#: Below these, rejected() takes a text's language for unknown.
-LEAST_SCORE, LEAST_PER_GRAM = 0.5, -float(np.log(BUCKETS))
+#: Below these, rejected() takes a text's language for unknown. The second is a quarter of an even draw: a model of few texts,
+#: to which most grams are new, gives all of them a little less than an even draw and rejects none.
+LEAST_SCORE, LEAST_PER_GRAM = 0.5, -float(np.log(4 * BUCKETS))
 _IDENTIFIED = "doc_id long, held_out boolean, lang_pred string, score double, per_gram double"
 _WEIGHTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters = None
@@ -208,5 +209,5 @@ def identify(docs: DataFrame, learnt: Iterable[LanguageModel]) -> DataFrame:
 
 def rejected(lang: list[str], score: np.ndarray, per_gram: np.ndarray) -> np.ndarray:
     """Whether a text's language cannot be told: no letter, no language with half of the posterior at least, or grams that
-    would be likelier if drawn evenly from all buckets than from the language."""
+    would be four times likelier if drawn evenly from all buckets than from the language."""
     return (np.array(lang) == "und") | (score < LEAST_SCORE) | (per_gram < LEAST_PER_GRAM)

@@ -130,11 +130,15 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = texts(docs).join(small_or_shuffled(asked), "doc_id", "left_semi").mapInArrow(_sets, _SET)
     sets = scratch.write(full, "sets")
     live = scratch.write(_linkable(classes, sets, percent), "live")
+    for name in ("buckets", "asked"):
+        scratch.drop(name)
 
     bands = scratch.write(live.select("rep", "minima").mapInArrow(_bands, _BANDS), "live-bands")
     buckets = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     buckets = scratch.write(buckets.select("band", "pivot"), "live-buckets")
     members = scratch.write(bands.join(buckets, "band").select("band", "number", "pivot", "rep"), "members")
+    for name in ("live-bands", "live-buckets"):
+        scratch.drop(name)
 
     star = members.filter("pivot != rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.write(_verified(star, sets), "star")
@@ -173,13 +177,15 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     across = left.join(right, (left.band == right.band) & allowed).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     across = scratch.write(across, "across")
+    for name in ("members", "star", "placed", "open", "waiting", "live"):
+        scratch.drop(name)
     more = _verified(across, sets).filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     # the star's components stand in for its links
     trees = known.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = scratch.write(components(trees.unionByName(more), scratch, "all-components"), "final")
-    scratch.drop("sets")
-
     shared = scratch.write(classes.filter("size > 1").select("digest", "rep"), "shared")
+    for name in ("sets", "across", "known", "classes"):
+        scratch.drop(name)
     # a row without an id has no class
     rows = sketch.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(shared, "digest", "left")
     rows = rows.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node")).join(final, "node", "left")

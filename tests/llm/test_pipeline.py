@@ -68,6 +68,24 @@ def test_stages_keep_columns_and_take_odd_rows(spark, frame, tmp_path):
     assert sorted(r.doc_id or 0 for r in rows) == [0, 7, 7]
 
 
+def test_stages_with_clashing_columns_and_long_texts(spark, frame, tmp_path):
+    """Columns that have the names of the operators' own come through with their values, whatever a stage decides."""
+    from .conftest import LONG
+
+    tables(spark, tmp_path, [(1, "x")], [(1, "p q r s t u v")])
+    extra = "row string, _row string, read string, key string, kept string, size string, uid string, band string, component string"
+    texts = [(1, LONG), (2, LONG), (3, "one two three four five six"), (6, "ONE two three four five six"), (4, "a p q r s t u v b"), (5, "12")]
+    rows = [(i, t, None if t == LONG else "en", None, 1, *(f"{c}{k}" for c in "abcdefghj")) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, {extra}")
+    left = {name: None for name, _ in corpus_pipeline.STAGES[:4]}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        left[name] = sorted(tuple(r)[5:] for r in docs.collect())
+    own = lambda *ks: sorted(rows[k][5:] for k in ks)
+    assert left == {"language_id": own(0, 1, 2, 3, 4), "exact_dedup": own(0, 2, 3, 4), "near_dedup": own(0, 2, 4), "decontaminate": own(0, 2)}
+    assert corpus_pipeline.sentencepiece(spark, docs, str(tmp_path)).count() == 2
+
+
 def test_decisions_name_rows(spark, frame, tmp_path):
     import random
 

@@ -157,13 +157,15 @@ def test_redaction_of_rows_that_share_an_id(frame):
     assert got == sorted(str(x) for x in [(7, "mail <email> now"), (7, "no data"), (None, "ip <ip>"), (None, "x"), (7, "<email>, <email>")])
 
 
-def test_booster_learns_and_calibrates():
+def test_booster_learns_and_calibrates(spark):
     rng = np.random.default_rng(0)
     x = {"a": rng.integers(0, 10, 4000), "b": rng.integers(0, 5, 4000)}
     y = ((x["a"] > 6) & (x["b"] < 2)).astype(float)
     booster = Booster.train(x, y, np.ones(4000))
     booster.calibrate(x, y, np.ones(4000))
     assert ((booster.probabilities(x) > 0.5) == y).mean() > 0.99
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x["a"][:200], x["b"][:200], strict=True)], "a int, b int").coalesce(1)
+    assert [r[0] for r in rows.select(booster.column()).collect()] == pytest.approx(list(booster.probabilities({k: v[:200] for k, v in x.items()})))
 
 
 def test_odd_and_long_texts_for_pii(frame):
@@ -386,10 +388,14 @@ def test_language_by_brute_force(frame, monkeypatch):
 
 
 def test_texts_in_no_language_are_rejected(frame):
-    docs = frame([(i, ("the house of the people " if i % 2 else "das haus der leute ") * 300) for i in range(40)], lang=lambda i: "en" if i % 2 else "de")
+    docs = frame([(i, ("the house of the people " if i % 2 else "das haus der leute ") * 900) for i in range(40)], lang=lambda i: "en" if i % 2 else "de")
     (model,) = language.train(docs)
     told = language.rejected(*model.predict(["the people", "die leute", None, "", "12", "xqzj qxvw zzkq wvxq jjqz", "e"]))
     assert told.tolist()[:6] == [False, False, True, True, True, True]
+    # a model of few texts rejects nothing that has a letter
+    few = frame([(i, "the house" if i % 2 else "das haus") for i in range(9)], lang=lambda i: "en" if i % 2 else "de")
+    (model,) = language.train(few)
+    assert not language.rejected(*model.predict(["some other words", "xqzj qxvw"])).any()
 
 
 # --- chat ---
