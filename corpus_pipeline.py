@@ -24,32 +24,39 @@ from murmuration.llm.pieces import encode_digests, public_model
 NEAR_PERCENT = 80
 
 
-ROW = "_row"
+def _free(docs: DataFrame, name: str) -> str:
+    """name, with as many bars before it as no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
-def _rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with ROW, a number that no two rows share and that orders them as their ids do, nulls first.
+def _rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a number that no two rows share and that orders them as their ids do,
+    nulls first.
 
     That is the id itself, unless ids are null or repeat; then rows are written down and numbered in order.
     """
+    row, read = _free(docs, "row"), _free(docs, "read")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     if not ids.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
-    rows = scratch.write(docs.withColumn("_read", F.monotonically_increasing_id()), "rows")
-    order = rows.select("doc_id", "_read").repartitionByRange(partitions(docs.sparkSession), "doc_id", "_read").sortWithinPartitions("doc_id", "_read")
-    numbered = scratch.write(order.withColumn(ROW, F.monotonically_increasing_id()).select("_read", ROW), "numbered")
-    return rows.join(numbered, "_read").drop("_read")
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
+    rows = scratch.write(docs.withColumn(read, F.monotonically_increasing_id()), "rows")
+    order = rows.select("doc_id", read).repartitionByRange(partitions(docs.sparkSession), "doc_id", read).sortWithinPartitions("doc_id", read)
+    numbered = scratch.write(order.withColumn(row, F.monotonically_increasing_id()).select(read, row), "numbered")
+    return rows.join(numbered, read).drop(read), row
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    """What the operators read, with ROW as the id: a decision then names one row."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+def _named(rows: DataFrame, row: str) -> DataFrame:
+    """What the operators read, with the row's number as the id: a decision then names one row."""
+    return rows.select(F.col(row).alias("doc_id"), "text")
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """rows but for those whose ROW is a doc_id of dropped, a written table; without ROW."""
-    named = dropped.select(F.col("doc_id").alias(ROW))
-    return rows.join(small_or_shuffled(named), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
+def _without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """rows but for those whose number is a doc_id of dropped, a written table; without the number."""
+    named = dropped.select(F.col("doc_id").alias(row))
+    return rows.join(small_or_shuffled(named), row, "left_anti").select([c for c in rows.columns if c != row])
 
 
 def _lettered(batches, at: int):
@@ -65,8 +72,8 @@ def _told(batches, model, at: int):
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told.
 
-    Those without a letter go, those of which no language has half the posterior, and those whose grams would be likelier
-    if drawn evenly than from the likeliest language. Without any label, documents with a letter stay. With the languages of
+    Those without a letter go, those of which no language has half the posterior, and those whose grams would be four
+    times likelier if drawn evenly than from the likeliest language. Without any label, documents with a letter stay. With the languages of
     one matrix the scan itself decides; more take identify(), whose decisions name rows.
 
     Null and empty texts go; texts of any length are read whole; rows with a null id, repeated rows and columns of any other
@@ -81,10 +88,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if second is None:
         return docs.mapInArrow(partial(_told, model=spark.sparkContext.broadcast(first), at=at), docs.schema)
     scratch = Scratch(spark, "stage-language")
-    rows = _rows(docs, scratch)
-    found = identify(_named(rows), chain([first, second], learnt))
+    rows, row = _rows(docs, scratch)
+    found = identify(_named(rows, row), chain([first, second], learnt))
     unknown = (F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE) | (F.col("per_gram") < LEAST_PER_GRAM)
-    return _without(rows, scratch.write(found.filter(unknown).select("doc_id"), "dropped"))
+    return _without(rows, row, scratch.write(found.filter(unknown).select("doc_id"), "dropped"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -96,8 +103,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     importable(spark)
     scratch = Scratch(spark, "stage-exact")
-    rows = _rows(docs, scratch)
-    return _without(rows, scratch.write(exact_groups(_named(rows)).filter("NOT kept").select("doc_id"), "dropped"))
+    rows, row = _rows(docs, scratch)
+    return _without(rows, row, scratch.write(exact_groups(_named(rows, row)).filter("NOT kept").select("doc_id"), "dropped"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -110,8 +117,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     importable(spark)
     scratch = Scratch(spark, "stage-near")
-    rows = _rows(docs, scratch)
-    return _without(rows, scratch.write(near_groups(_named(rows), NEAR_PERCENT).filter("NOT kept").select("doc_id"), "dropped"))
+    rows, row = _rows(docs, scratch)
+    return _without(rows, row, scratch.write(near_groups(_named(rows, row), NEAR_PERCENT).filter("NOT kept").select("doc_id"), "dropped"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -122,9 +129,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     all of them.
     """
     scratch = Scratch(spark, "stage-leaks")
-    rows = _rows(docs, scratch)
-    found = contaminated(_named(rows), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _without(rows, scratch.write(found, "dropped"))
+    rows, row = _rows(docs, scratch)
+    found = contaminated(_named(rows, row), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return _without(rows, row, scratch.write(found, "dropped"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
