@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Reductions by name; each is one that partial results can be merged by.
@@ -53,3 +53,12 @@ def reduced(rows: DataFrame, columns: list[Logged], tick: str = "tick") -> DataF
 def tabular(rows: DataFrame, headers: list[str], rank: str = "uid_rank", seq: str = "seq") -> DataFrame:
     """Rows in order of rank, and within a rank as logged."""
     return rows.orderBy(rank, seq).select(*headers)
+
+
+def running(rows: DataFrame, value: str, order: str, by: tuple[str, ...] = (), name: str = "total", before: bool = False) -> DataFrame:
+    """rows, one for each (by, order), with the sum of value so far; without the row's own if `before`.
+
+    The rows of one `by` are added up in one task, as those of an agent or, with none, the ticks of a log.
+    """
+    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return rows.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0)))

@@ -5,10 +5,9 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.logs import Logged, logged_fields, reduced, tabular
+from ..operators.logs import Logged, logged_fields, reduced, running, tabular
 from ..operators.population import UID
 from ..operators.space import colocations
 from ..sources.files import LogSink, dump_parameters, read_parameters
@@ -38,13 +37,20 @@ def _(v: Views):
 def _(v: Views):
     # a row for each tick reaches the window
     new = v.tick_log().groupBy("tick").agg(F.count("*").alias("new"))
-    return new.withColumn("total", F.sum("new").over(Window.orderBy("tick")))
+    return running(new, "new", "tick")
 
 
 @query("accumulated_per_agent", with_views(", n AS (SELECT uid_rank, tick, count(*) AS n FROM ticklog GROUP BY 1, 2) SELECT uid_rank, tick, CAST(sum(n) OVER (PARTITION BY uid_rank ORDER BY tick) AS BIGINT) AS total FROM n", "ticklog"))
 def _(v: Views):
     n = v.tick_log().groupBy("uid_rank", "tick").agg(F.count("*").alias("n"))
-    return n.select("uid_rank", "tick", F.sum("n").over(Window.partitionBy("uid_rank").orderBy("tick")).alias("total"))
+    return running(n, "n", "tick", ("uid_rank",)).select("uid_rank", "tick", "total")
+
+
+@query("accumulated_by_user", "WITH n AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS tick, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, tick, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY tick) AS BIGINT) AS total FROM n")
+def _(v: Views):
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    n = v.table("events").groupBy("user_id", day.alias("tick")).agg(F.count("*").alias("n"))
+    return running(n, "n", "tick", ("user_id",)).select("user_id", "tick", "total")
 
 
 @query("colocation_count", with_views("SELECT id, type, uid_rank, x, y, count(*) OVER (PARTITION BY x, y) - 1 AS others FROM locs", "locs"))
@@ -74,8 +80,7 @@ def _(v: Views):
 @query("cumulative_offsets", with_views(", n AS (SELECT uid_rank, count(*) AS n FROM agents GROUP BY 1) SELECT uid_rank, n, CAST(coalesce(sum(n) OVER (ORDER BY uid_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM n", "agents"))
 def _(v: Views):
     n = v.agents().groupBy("uid_rank").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("uid_rank").rowsBetween(Window.unboundedPreceding, -1))
-    return n.select("uid_rank", "n", F.coalesce(before, F.lit(0)).alias("before"))
+    return running(n, "n", "uid_rank", name="before", before=True)
 
 
 @query("reduce_any_all", with_views("SELECT tick, bool_or(v > 400) AS some, bool_and(v > 1) AS every FROM ticklog GROUP BY tick", "ticklog"))

@@ -49,13 +49,17 @@ def _(v: Views):
 
 @query(
     "event_expand_repeating",
-    """WITH RECURSIVE e AS (SELECT n_nationkey AS order_idx, 1.0::DOUBLE + n_nationkey * 0.1::DOUBLE AS "at", 0.4::DOUBLE + n_nationkey * 0.05::DOUBLE AS step FROM nation),
-    r AS (SELECT order_idx, "at", step FROM e UNION ALL SELECT order_idx, "at" + step, step FROM r WHERE "at" + step <= 8) SELECT order_idx, round("at", 9) AS "at" FROM r""",
+    with_views(
+        """, e AS (SELECT order_idx, "at"::DOUBLE AS "at", 150.1::DOUBLE + (order_idx % 50) * 0.7::DOUBLE AS step FROM sched),
+    r AS (SELECT order_idx, "at", step FROM e WHERE "at" <= 720 UNION ALL SELECT order_idx, "at" + step, step FROM r WHERE "at" + step <= 720)
+    SELECT order_idx, round("at", 9) AS "at" FROM r""",
+        "sched",
+        recursive=True,
+    ),
 )
 def _(v: Views):
-    key = F.col("n_nationkey")
-    repeating = v.table("nation").select(key.alias("order_idx"), (F.lit(1.0) + key * 0.1).alias("at"), (F.lit(0.4) + key * 0.05).alias("interval"))
-    return ev.expand_repeating(v.spark, repeating, 8.0).select("order_idx", F.round("at", 9).alias("at"))
+    repeating = v.schedule().select("order_idx", F.col("at").cast("double").alias("at"), (F.lit(150.1) + F.col("order_idx") % 50 * 0.7).alias("interval"))
+    return ev.expand_repeating(v.spark, repeating, 720.0).select("order_idx", F.round("at", 9).alias("at"))
 
 
 @query("event_tick_counts", "SELECT date_trunc('hour', ts) AS \"at\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -86,10 +86,13 @@ def _(v: Views):
     return Population(v.agents()).add(new).df
 
 
-@query("context_request", with_views(f"SELECT q.tile AS asking_tile, {', '.join('p.' + c for c in _ROW.split(', '))}, p.tile FROM (SELECT (tile + 1) % 8 AS tile, id, type, uid_rank FROM population WHERE id % 10 = 0) q JOIN population p USING (id, type, uid_rank)", "population"))
+@query("context_request", with_views(f"SELECT (p.tile + 1) % 8 AS asking_tile, {', '.join('p.' + c for c in _ROW.split(', '))}, p.tile FROM population p", "population"))
 def _(v: Views):
+    """Each agent is asked for by the tile after its own, and so is one that nobody owns."""
     p = v.population()
-    return p.request_agents(p.df.filter("id % 10 = 0").select(((F.col("tile") + 1) % 8).alias("tile"), *UID))
+    asked = p.df.select(((F.col("tile") + 1) % 8).alias("tile"), *UID)
+    nobody = p.df.select(((F.col("tile") + 1) % 8).alias("tile"), (F.col("id") + 9_000_000).alias("id"), "type", "uid_rank")
+    return p.request_agents(asked.unionByName(nobody))
 
 
 @query("context_move_tiles", with_views(f"SELECT {_ROW}, CASE WHEN id % 5 = 0 THEN (tile + 3) % 8 ELSE tile END AS tile FROM population", "population"))

@@ -182,10 +182,10 @@ def _(v: Views):
     return v.space().remove(v.agents().filter("id % 4 = 1")).locations.select(*UID, "x", "y")
 
 
-@query("space_contains", with_views(f"SELECT {_UID} FROM agents WHERE id % 6 = 0 AND type = 0", "agents"))
+@query("space_contains", with_views(f"SELECT {_UID} FROM agents WHERE type = 0", "agents"))
 def _(v: Views):
     members = Space(v.space().locations.filter("type = 0"), GRID)
-    return members.contains(v.agents().filter("id % 6 = 0").select(*UID))
+    return members.contains(v.agents().select(*UID))
 
 
 @query("space_location", with_views("SELECT a.id, a.type, a.uid_rank, l.x, l.y, l.z FROM agents a LEFT JOIN (SELECT * FROM locs WHERE type = 0) l USING (id, type, uid_rank)", "locs"))
@@ -267,3 +267,20 @@ def _(v: Views):
         return own[UID].assign(near=near - 1)
 
     return step_agents(v.space(), step, "id long, type int, uid_rank int, near long", buffer_size=1)
+
+
+@query("tile_accessors", f"WITH {_TILES_SQL} SELECT tile, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, tile AS number, 8 AS size FROM tiles")
+def _(v: Views):
+    rows = [(t, *TILES.coordinates(t), TILES.number(TILES.coordinates(t)), TILES.size) for t in range(TILES.size)]
+    return v.spark.createDataFrame(rows, "tile int, cx int, cy int, number int, size int")
+
+
+@query("box_dims", "SELECT n_nationkey AS key, CAST(1 + (n_nationkey % 2) + (n_nationkey % 2) * (n_nationkey % 3 // 2) AS INT) AS dims FROM nation")
+def _(v: Views):
+    """Boxes by nation: those of odd keys have a second side, some of these a third."""
+    rows = []
+    for r in v.table("nation").select("n_nationkey").collect():  # a row for each nation
+        k = r.n_nationkey
+        sides = [0, 9, 0, 5 * (k % 2), 0, 7 * (k % 2) * (k % 3 // 2)]
+        rows.append((k, BoundingBox(*sides).num_dims))
+    return v.spark.createDataFrame(rows, "key int, dims int")

@@ -61,7 +61,7 @@ def test_registered_search_reaches_every_level(spark, tmp_path):
     while front:
         front = [b for a in front for b in nexts.get(a, []) if levels.setdefault(b, levels[a] + 1) == levels[a] + 1]
         front = list(dict.fromkeys(b for b in front if b not in levels or levels[b] == max(levels.values())))
-    got = {r.id: r.level for r in QUERIES["net_bfs_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.level for r in QUERIES["net_bfs"](spark, str(tmp_path)).collect()}
     assert got == levels and max(levels.values()) > 6
 
 
