@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, smaller
 
 BUCKETS = 1 << 15
 #: Labelled documents of each language that the model learns from, about; chosen by a hash of the id from the whole table.
@@ -32,7 +32,7 @@ def _letter_table() -> np.ndarray:
     """Code point to itself for letters, 0 for the rest."""
     global _letters
     if _letters is None:
-        _letters = np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
+        _letters = np.fromiter((c if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint32, 0x110000)
     return _letters
 
 
@@ -70,7 +70,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in smaller(batches):
         by: dict[str, list[str]] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
@@ -159,14 +159,14 @@ def train(docs: DataFrame) -> list[LanguageModel]:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in smaller(batches):
         lang, score, per_gram = model.value.predict(b.column("text").to_pylist())
         arrays = [b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(per_gram)]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score", "per_gram"])
 
 
 def _partial(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in smaller(batches):
         best, top, total, n = model.value.scored(b.column("text").to_pylist())
         known = best >= 0
         langs = pa.array([model.value.languages[k] for k in best[known]], pa.string())

@@ -14,7 +14,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import smaller, texts
 
 _SPACE = "▁".encode()
 
@@ -193,7 +193,7 @@ _encoder = lru_cache(maxsize=2)(Encoder)
 
 def _arrays(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(model)
-    for b in batches:
+    for b in smaller(batches):
         found = [encoder.encode(t) for t in b.column("text").to_pylist()]
         lists = [pa.array([f(e) for e in found], pa.list_(pa.int64())) for f in (lambda e: e.ids.astype(np.int64), lambda e: e.begin, lambda e: e.end)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *lists], names=["doc_id", "ids", "begins", "ends"])
@@ -201,7 +201,7 @@ def _arrays(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Reco
 
 def _digests(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     encoder, sha = _encoder(model), lambda data: hashlib.sha256(data).hexdigest()
-    for b in batches:
+    for b in smaller(batches):
         rows = []
         for text in b.column("text").to_pylist():
             e = encoder.encode(text)
