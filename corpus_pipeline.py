@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import Scratch, importable, partitions, small_or_shuffled, table
+from murmuration.llm.common import Scratch, importable, partitions, small_or_shuffled, smaller, table
 from murmuration.llm.decontaminate import contaminated
 from murmuration.llm.exact_dedup import exact_groups
 from murmuration.llm.language import LEAST_PER_GRAM, LEAST_SCORE, has_letter, identify, models, rejected
@@ -60,12 +60,12 @@ def _without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
 
 
 def _lettered(batches, at: int):
-    for b in batches:
+    for b in smaller(batches):
         yield b.filter(pa.array([has_letter(t) for t in b.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
 
 
 def _told(batches, model, at: int):
-    for b in batches:
+    for b in smaller(batches):
         yield b.filter(pa.array(~rejected(*model.value.predict(b.column(at).cast(pa.string()).to_pylist()))))
 
 
