@@ -17,15 +17,19 @@ _KINDS = {int: "long", float: "double", "int": "long", "float": "double"}
 
 @dataclass(frozen=True)
 class Logged:
-    """One logged column: source column, reduction, name in the log and type."""
+    """One logged column: source column, reduction, name in the log and type.
+
+    The reduction is one by name, or a function that makes an aggregate of a column; it sees rows in no order.
+    """
 
     source: str
-    reduction: str
+    reduction: str | Callable[[Column], Column]
     name: str
     kind: str | None = None
 
     def column(self) -> Column:
-        out = REDUCTIONS[self.reduction](F.col(self.source))
+        reduce = self.reduction if callable(self.reduction) else REDUCTIONS[self.reduction]
+        out = reduce(F.col(self.source))
         return (out.cast(self.kind) if self.kind else out).alias(self.name)
 
 

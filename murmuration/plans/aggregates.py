@@ -138,3 +138,9 @@ def _(v: Views):
         f.flush()
         p = read_parameters(f.name, '{"ticks": 9}')
     return v.spark.createDataFrame([(p["name"], p["ticks"], p["seed"])], "name string, ticks int, seed int")
+
+
+@query("reduce_own", with_views("SELECT tick, round(sqrt(sum(v * v)), 6) AS norm, max(v) - min(v) AS spread FROM ticklog GROUP BY tick", "ticklog"))
+def _(v: Views):
+    columns = [Logged("v", lambda c: F.round(F.sqrt(F.sum(c * c)), 6), "norm"), Logged("v", lambda c: F.max(c) - F.min(c), "spread")]
+    return reduced(v.tick_log(), columns)
