@@ -1,6 +1,6 @@
 """Personal data: candidate spans from wide generators, boosted trees, calibrated thresholds.
 
-DataFrame functions do all work on rows; the driver fits the trees to counts of a bounded sample.
+DataFrame functions do all work on rows; the trees are fitted to counts of all labelled spans.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boosting import Booster
+from .boosting import Booster, Held, Spread
 from .common import Scratch, keyed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,8 +46,8 @@ _PREFIX = r"(?:\+[0-9]{1,3}|(?<![0-9.-])1)[\x20().-]{0,3}$"
 _NAMED = r"(?i)(?:token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)s?[\x22\x27]?\s*[:=]{0,2}\s*[\x22\x27]?$"
 #: Characters kept on either side of a span as context.
 CONTEXT = 24
-#: Wide candidates that the trees learn from, about, chosen by a hash of the document.
-TRAIN_SPANS = 200_000
+#: Distinct feature tuples that the driver holds; of more, it gets the trees' sums alone. The labelled spans all count.
+DRIVER_TUPLES = 50_000
 #: The share of found spans that must be labelled for a threshold to hold, and the labelled spans that it takes.
 PRECISION, LEAST_POSITIVE = 0.98, 20
 
@@ -145,7 +145,9 @@ def _described(rows: DataFrame) -> DataFrame:
     }
     named = (kind == SECRET) & before.rlike(_NAMED)
     described = rows.withColumns({"holds": ~F.col("wide") & holds, "valid": F.col("wide") & valid, "clear": F.col("wide") & clear, "named": F.col("wide") & named})
-    return described.withColumns({k: v.cast("int") for k, v in features.items()})
+    # large counts on a scale of 16 steps to a doubling, so that a feature has some 600 values at most
+    level = lambda v: F.when(v <= 256, v).otherwise(F.floor(16 * F.log2(v)).cast("int") + 128)
+    return described.withColumns({k: level(v.cast("int")) for k, v in features.items()})
 
 
 def _against_base(rows: DataFrame) -> DataFrame:
@@ -164,52 +166,65 @@ def _against_base(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"touched": overlapped(F.col("holds")), "confirmed": confirmed})
 
 
-def _model(rows: DataFrame) -> tuple[Booster, dict[int, float]] | None:
-    """Trees over the wide spans, and for each kind the least calibrated probability that keeps PRECISION.
+def _half() -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), "key"), F.lit(2)).cast("int")
+
+
+def _model(rows: DataFrame, scratch: Scratch) -> list[tuple[Booster, dict[int, float]]] | None:
+    """For each half of the documents: trees that all labelled spans of the other half trained, and for each kind the least
+    calibrated probability that keeps PRECISION on all labelled spans of the half itself.
 
     Labels come from the base rules: a wide span is positive if a base match of its kind that holds overlaps it, and
     negative if a match of another kind does or if it fails its kind's checks. A key is positive if it is named, which no
-    feature shows. The rest, which may be added too, have no label: they neither train nor calibrate. Half the documents train the trees, the other half calibrates
-    them and sets the thresholds. The driver gets a row for each distinct feature tuple of the sample.
+    feature shows. The rest, which may be added too, have no label: they neither train nor calibrate. Every labelled span
+    trains one half's trees and calibrates the other's, so no span is judged by trees that its document has trained.
+
+    Spans are counted by feature tuple in the cluster. The driver gets the counts if there are DRIVER_TUPLES at most, else
+    the sums that each level of a tree needs; then counts by kind and score.
     """
-    wide = rows.filter("wide AND (touched OR named OR NOT valid)")
-    total = wide.count()
-    if not total:
-        return None
     names = [c for c in rows.columns if c.startswith("f_")]
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
-    sample = wide.filter(draw < min(1 << 20, -(-(TRAIN_SPANS << 20) // total)))
-    half = (F.pmod(F.xxhash64(F.lit("half"), "key"), F.lit(2)) == 0).alias("trains")
-    counted = sample.groupBy(half, *names).agg(F.count("*").alias("n"), F.sum(F.col("confirmed").cast("long")).alias("positive"))
-    table = np.array([[int(v) for v in r] for r in counted.collect()], np.int64)
-    if not len(table):
-        return None
-
-    def part(which: bool):
-        t = table[table[:, 0] == which]
-        features = {c: np.repeat(t[:, i + 1], 2) for i, c in enumerate(names)}
-        yes, n = t[:, -1], t[:, -2]
-        return features, np.tile([1.0, 0.0], len(t)), np.stack([yes, n - yes], 1).reshape(-1).astype(float)
-
-    features, label, weight = part(True)
-    if not (label * weight).sum():
+    wide = rows.filter("wide AND (touched OR named OR NOT valid)")
+    counted = wide.groupBy(_half().alias("half"), *names).agg(F.count("*").alias("n"), F.sum(F.col("confirmed").cast("long")).alias("positive"))
+    counted = scratch.write(counted, "counted")
+    tuples = counted.count()
+    if not tuples:
         return None
-    booster = Booster.train(features, label, weight)
-    features, label, weight = part(False)
+    table = np.array([[int(v) for v in r] for r in counted.collect()], np.int64) if tuples <= DRIVER_TUPLES else None
+    models = []
+    for half in (0, 1):
+        if table is not None:
+            t = table[table[:, 0] != half]
+            source = Held({c: t[:, i + 1] for i, c in enumerate(names)}, t[:, -1].astype(float), t[:, -2].astype(float)) if len(t) else None
+        else:
+            part = counted.filter(F.col("half") != half)
+            source = Spread(part, names, scratch, f"scores{half}-") if part.limit(1).count() else None
+        if source and source.positive:
+            booster = Booster.grown(source)
+            models.append((booster, _thresholds(booster, counted.filter(F.col("half") == half))))
+        else:
+            models.append((Booster(0.0, []), {}))
+    return models
+
+
+def _thresholds(booster: Booster, counted: DataFrame) -> dict[int, float]:
+    """Calibrates the trees on counted spans and gives each kind's threshold on them."""
+    by_score = counted.groupBy("f_kind", booster.score_column().alias("score")).agg(F.sum("n"), F.sum("positive"))
+    rows = sorted(map(tuple, by_score.collect()))
+    if not rows:
+        return {}
+    kind, score, n, yes = (np.array(c, float) for c in zip(*rows, strict=True))
+    booster.calibrate_scores(np.repeat(score, 2), np.tile([1.0, 0.0], len(n)), np.stack([yes, n - yes], 1).reshape(-1))
+    p = booster.probability_at(score)
     thresholds = {}
-    if len(label):
-        booster.calibrate(features, label, weight)
-        p = booster.probabilities(features)
-        for k in range(len(NAMES)):
-            own = features["f_kind"] == k
-            order = np.argsort(-p[own], kind="stable")
-            good, all_ = np.cumsum((label * weight)[own][order]), np.cumsum(weight[own][order])
-            ps = p[own][order]
-            last = np.append(ps[1:] != ps[:-1], True) if len(ps) else np.zeros(0, bool)
-            fit = np.flatnonzero(last & (good >= PRECISION * all_) & (good >= LEAST_POSITIVE))
-            if len(fit):
-                thresholds[k] = float(ps[fit[-1]]) - 1e-9
-    return booster, thresholds
+    for k in range(len(NAMES)):
+        own = np.flatnonzero(kind == k)
+        order = own[np.argsort(-p[own], kind="stable")]
+        good, all_, ps = np.cumsum(yes[order]), np.cumsum(n[order]), p[order]
+        last = np.append(ps[1:] != ps[:-1], True) if len(ps) else np.zeros(0, bool)
+        fit = np.flatnonzero(last & (good >= PRECISION * all_) & (good >= LEAST_POSITIVE))
+        if len(fit):
+            thresholds[k] = float(ps[fit[-1]]) - 1e-9
+    return thresholds
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -237,13 +252,13 @@ def _source(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def _found(source: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.write(_against_base(_described(_candidates(source, scratch))), "described")
     scratch.drop("matches")
-    model = _model(rows)
+    models = _model(rows, scratch)
     added = F.lit(False)
-    if model and model[1]:
-        booster, thresholds = model
-        enough = reduce(lambda a, b: a | b, ((F.col("kind") == k) & (F.col("probability") >= t) for k, t in thresholds.items()))
+    if models and any(thresholds for _, thresholds in models):
+        kept = [(_half() == half) & (F.col("kind") == k) & (F.col("probability") >= t) for half, (_, thresholds) in enumerate(models) for k, t in thresholds.items()]
+        enough = reduce(lambda a, b: a | b, kept)
         may = F.col("wide") & ~F.col("touched") & F.col("valid") & F.col("clear")
-        rows = rows.withColumn("probability", F.when(may, booster.column()))
+        rows = rows.withColumn("probability", F.when(may & (_half() == 0), models[0][0].column()).when(may, models[1][0].column()))
         chosen = F.coalesce(may & enough, F.lit(False))
         rows = rows.withColumn("chosen", chosen)
         here = Window.partitionBy("key").orderBy("start", "end", "wide", "kind").rowsBetween(Window.unboundedPreceding, -1)
