@@ -1,6 +1,7 @@
 """Exact, near, substring and line dedup against brute force, and their odd inputs."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 from murmuration.llm.components import components
 from murmuration.llm.common import Scratch
 from murmuration.llm.exact_dedup import exact_groups, normalised
+from murmuration.llm import line_dedup
 from murmuration.llm.line_dedup import dedup_lines
 from murmuration.llm.near_dedup import near_groups
 from murmuration.llm.shingles import shingle_sets
@@ -258,6 +260,26 @@ def test_lines_of_a_large_group(frame):
     assert got == lines_by_brute_force(docs) and 200 < sum(n for _, n, _ in got.values()) < 400
 
 
+def test_lines_by_any_share_of_rarity(frame, monkeypatch):
+    """Rarity only orders tokens: counted in all documents, in some or in none, the rows are those of brute force, also
+    where one line has 64 bits of parity and its match twice as many; and numbers never sort as objects."""
+    rng = random.Random(5)
+    docs = []
+    for i, n in enumerate([64, 65, 70, 80, 120, 200] * 4):
+        own = [f"w{k}" for k in range(n)] if i < 12 else [f"{i % 3}v{k}" for k in range(n)]
+        for _ in range(n // 14):
+            own[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(own).title() + "\r\n\x0b \t"))
+    want = lines_by_brute_force(docs)
+    assert 0 < sum(n for _, n, _ in want.values()) < len(docs)
+    for share in (1, 3, 10**9):
+        monkeypatch.setattr(line_dedup, "RARITY_SHARE", share)
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(frame(docs)).collect()}
+        assert got == want
+    numbers = frame(docs).select(line_dedup._numbers(line_dedup._fingerprints(line_dedup._words("text")), [0] * line_dedup.SLOTS).alias("n"))
+    assert not numbers.schema["n"].dataType.containsNull
+
+
 def test_lines_of_odd_rows(frame):
     rows = dedup_lines(frame(ODD)).collect()
     assert len(rows) == len(ODD)
