@@ -1,7 +1,7 @@
 """Corpus preparation: language, exact copies, near copies, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. A stage leaves the session with small_batches().
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import Scratch, importable, partitions, small_or_shuffled, smaller, table
+from murmuration.llm.common import Scratch, importable, partitions, small_batches, small_or_shuffled, smaller, table
 from murmuration.llm.decontaminate import contaminated
 from murmuration.llm.exact_dedup import exact_groups
 from murmuration.llm.language import LEAST_PER_GRAM, LEAST_SCORE, has_letter, identify, models, rejected
@@ -80,6 +80,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name come through as they are; an empty table gives no rows.
     """
     importable(spark)
+    small_batches(spark)
     learnt = models(docs)
     first, second = next(learnt, None), next(learnt, None)
     at = docs.columns.index("text")
@@ -102,6 +103,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no rows.
     """
     importable(spark)
+    small_batches(spark)
     scratch = Scratch(spark, "stage-exact")
     rows, row = _rows(docs, scratch)
     return _without(rows, row, scratch.write(exact_groups(_named(rows, row)).filter("NOT kept").select("doc_id"), "dropped"))
@@ -116,6 +118,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     through; an empty table gives no rows.
     """
     importable(spark)
+    small_batches(spark)
     scratch = Scratch(spark, "stage-near")
     rows, row = _rows(docs, scratch)
     return _without(rows, row, scratch.write(near_groups(_named(rows, row), NEAR_PERCENT).filter("NOT kept").select("doc_id"), "dropped"))
@@ -128,6 +131,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     texts are searched whole; columns of any other name come through; an empty table gives no rows, an empty benchmark
     all of them.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "stage-leaks")
     rows, row = _rows(docs, scratch)
     found = contaminated(_named(rows, row), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
@@ -141,6 +145,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     columns are not read; an empty table gives no rows.
     """
     importable(spark)
+    small_batches(spark)
     return encode_digests(docs, public_model())
 
 

@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from murmuration.llm.pieces import public_model
@@ -18,6 +19,11 @@ ROOT = Path(__file__).resolve().parents[2]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def _sizes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"])
+
+
 def tables(spark, folder, docs, items):
     rows = [(i, t, None if i is None else "en", None, 1) for i, t in docs]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
@@ -100,6 +106,27 @@ def test_decisions_name_rows(spark, frame, tmp_path):
     assert kept == sorted([docs[k] for k in (2, 3, 5, 7, 8)], key=str)
 
 
+def test_stages_hand_python_small_batches(spark, frame, tmp_path):
+    """Of whole texts no more than BATCH_BYTES and a row at a time; a smaller setting of the session stays."""
+    from murmuration.llm.common import BATCH_BYTES
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    tables(spark, tmp_path, [(i, f"{i} " + "word " * 20_000) for i in range(60)], [(1, "p q r s t u v")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    seen = docs.select("text").mapInArrow(_sizes, "bytes long")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(setting)
+            stage(spark, docs, str(tmp_path))
+            sizes = [r.bytes for r in seen.collect()]
+            assert sum(sizes) > 4 * BATCH_BYTES and max(sizes) < BATCH_BYTES + 150_000
+        spark.conf.set(setting, "200k")
+        stage(spark, docs, str(tmp_path))
+        assert max(r.bytes for r in seen.collect()) < 350_000
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_empty_tables(spark, frame, tmp_path):
     tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
