@@ -280,6 +280,16 @@ def test_lines_by_any_share_of_rarity(frame, monkeypatch):
     assert not numbers.schema["n"].dataType.containsNull
 
 
+def test_lines_with_each_white_space(frame, monkeypatch):
+    """White space of one kind, of several and of none; and the places of the classes are not written a second time."""
+    names, write = [], line_dedup.Scratch.write
+    monkeypatch.setattr(line_dedup.Scratch, "write", lambda self, df, name: (names.append(name), write(self, df, name))[1])
+    docs = [(i, f"One{c}two three{c}{c}Four\nrow{c}{i} of its own") for i, c in enumerate(["\t", "\v", "\f", "\r", " ", "\t\v \f\r"])]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(frame(docs)).collect()}
+    assert got == lines_by_brute_force(docs) and sum(n for _, n, _ in got.values()) == 5
+    assert "classes" in names and "places" not in names
+
+
 def test_lines_of_odd_rows(frame):
     rows = dedup_lines(frame(ODD)).collect()
     assert len(rows) == len(ODD)
