@@ -73,11 +73,11 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one text file, read by as many tasks as it has splits.
+    """(line_no, line) of one text file, or of a folder's parts in order of name, read by as many tasks as there are splits.
 
-    line_no orders lines as they stand in the file: by the split that a line begins in, and within it as read.
+    line_no orders lines as they stand in the file: by part, by the split that a line begins in, and within it as read.
     """
-    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    place = F.struct(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
     return spark.read.text(path).select(place.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
@@ -121,9 +121,10 @@ def network_lines(name: str, network: Network, ranks: DataFrame) -> DataFrame:
 
 
 def write_network(name: str, network: Network, path: str, n_ranks: int, method: str = "random", seed: int | None = None, **partition_args) -> None:
-    """Writes a graph file (one part in a folder) with nodes dealt to n_ranks.
+    """Writes a graph file with nodes dealt to n_ranks, as parts in a folder that make up the file in order of name.
 
-    Methods are 'random', and 'near', which cuts few edges (graphs.near_parts, to which partition_args go).
+    Each part is a range of the lines, so that no task has them all. Methods are 'random', and 'near', which cuts few edges
+    (graphs.near_parts, to which partition_args go).
     """
     if method == "random":
         parts = network.random_parts(n_ranks, seed)
@@ -132,5 +133,4 @@ def write_network(name: str, network: Network, path: str, n_ranks: int, method:
     else:
         raise ValueError(f"no partition method {method!r}")
     lines = network_lines(name, network, parts)
-    # a sort before coalesce() may be dropped; the format asks for one file, whose sort can spill
-    lines.repartition(1).sortWithinPartitions("section", "a", "b").select("line").write.text(path)
+    lines.orderBy("section", "a", "b").select("line").write.text(path)

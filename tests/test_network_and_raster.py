@@ -141,6 +141,36 @@ def test_graph_file_of_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_graph_file_of_many_parts(spark, tmp_path):
+    edges = [(i, (i * 7 + 1) % 3000, 1.0) for i in range(3000)]
+    n = net(spark, edges, True, range(3000))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        write_network("big", n, str(tmp_path / "out"), 2)
+        parts = sorted((tmp_path / "out").glob("part-*"))
+        lines = [x for p in parts for x in p.read_text().splitlines()]
+        assert lines[0] == "big 1" and lines[3001] == "EDGES" and len(lines) == 6002
+        assert [int(x.split()[0]) for x in lines[1:3001]] == list(range(3000)) and lines[3002:] == [f"{a} {b}" for a, b, _ in edges]
+        assert len(parts) > 3 and max(len(p.read_text().splitlines()) for p in parts) < 3000
+        name, m = read_network(spark, str(tmp_path / "out"))
+        assert (name, m.directed, m.nodes.count()) == ("big", True, 3000)
+        assert sorted((r.src, r.dst) for r in m.edges.collect()) == [(a, b) for a, b, _ in edges]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_parts_are_read_in_order_of_name(spark, tmp_path):
+    """Spark reads the largest file first."""
+    (tmp_path / "part-0").write_text("parts 1\n1 0 0\n")
+    (tmp_path / "part-1").write_text("2 0 0\n3 0 0\nEDGES\n" + "1 2\n2 3\n" + "3 1\n" * 50)
+    name, n = read_network(spark, str(tmp_path))
+    assert name == "parts" and {(r.src, r.dst) for r in n.edges.collect()} == {(1, 2), (2, 3), (3, 1)} and n.nodes.count() == 3
+
+
 def test_strict_changes(spark):
     n = net(spark, [(1, 2, 1.0), (2, 3, 2.0)])
     other, there = spark.createDataFrame([(2, 1, 7.0), (1, 3, 7.0)], EDGE), spark.createDataFrame([(2, 1, 7.0)], EDGE)
