@@ -138,8 +138,12 @@ def counts(state: DataFrame, tick: int) -> DataFrame:
 
 
 def run(state: DataFrame, ticks: int, box: BoundingBox, seed: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(state, log): each tick is counted before it is run."""
-    log = None
+    """(state, log): each tick is counted before it is run.
+
+    A kept state stays in as many parts as it was written in, so agents are first dealt out: otherwise the parts of the file
+    that they come from, which may be one, would set how many tasks have work in every tick.
+    """
+    state, log = keep(state.repartition("seq"), "start") if keep else state, None
     for tick in range(1, ticks + 1):
         row = counts(state, tick)
         log = row if log is None else log.unionByName(row)

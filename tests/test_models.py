@@ -73,6 +73,28 @@ def test_zombies(spark):
         assert r.duration < zombies.TICKS_TO_DIE if r.type == zombies.HUMAN else r.duration == 0
 
 
+def test_zombies_of_one_part_are_dealt_out(spark):
+    n = F.col("id")
+    agents = spark.range(400).select("id", F.when(n < 350, 0).otherwise(1).alias("type"), F.lit(0).alias("uid_rank"), n.alias("seq"), (n % 12 + 0.3).alias("x"), (n % 9 + 0.6).alias("y"))
+    start, rows = zombies.initial(agents, BOX).coalesce(1), {}
+
+    def keep(df, name):
+        out = Scratch(spark, "test").write(df, name)
+        rows[name] = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+        return out
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        state, log = zombies.run(start, 2, BOX, keep=keep)
+        for name in ("chase1", "flee1", "chase2", "flee2"):
+            assert sum(rows[name]) == 400 and max(rows[name]) < 200
+        plain, plain_log = zombies.run(start, 2, BOX)
+        assert sorted(state.collect()) == sorted(plain.collect()) and log.orderBy("tick").collect() == plain_log.orderBy("tick").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_scratch_reads_the_clusters_setting(spark):
     before = shared_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir") == before and shared_dir(spark) == before
