@@ -11,6 +11,18 @@ from ..functions.draws import draw
 from .population import UID
 
 ENDS = ["src", "dst"]
+#: Rows, counted before, up to which a table is broadcast to the links.
+FEW = 100_000
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that may not be broadcast, however small its files are: it grows with the nodes or edges."""
+    return df.hint("merge")
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df as a side of a join, broadcast if its rows, counted before, are few."""
+    return F.broadcast(df) if rows <= FEW else shuffled(df)
 
 
 def _ordered(df: DataFrame, directed: bool) -> DataFrame:
@@ -36,7 +48,7 @@ class Network:
 
     def _with_ends(self, edges: DataFrame) -> Network:
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        new = ends.join(self.nodes.select("id"), "id", "left_anti")
+        new = ends.join(shuffled(self.nodes.select("id")), "id", "left_anti")
         return replace(self, nodes=self.nodes.unionByName(new, allowMissingColumns=True), edges=edges)
 
     @property
@@ -153,10 +165,10 @@ class Network:
         links = self.neighbours().select(F.col("id").alias("from_id"), F.col("other").alias("id"))
         seen = keep(seeds.select("id").distinct().withColumn("level", F.lit(0)), "level0")
         front, level = seen, 0
-        while not front.isEmpty() and level != max_levels:
+        while (n := front.count()) and level != max_levels:
             level += 1
-            new = front.select(F.col("id").alias("from_id")).join(links, "from_id").select("id").distinct()
-            front = keep(new.join(seen, "id", "left_anti").withColumn("level", F.lit(level)), f"level{level}")
+            new = links.join(few(front.select(F.col("id").alias("from_id")), n), "from_id").select("id").distinct()
+            front = keep(new.join(shuffled(seen), "id", "left_anti").withColumn("level", F.lit(level)), f"level{level}")
             seen = seen.unionByName(front)
         return seen
 

@@ -217,6 +217,22 @@ def test_graph_algorithms(spark):
     assert cut(parts) < cut(dealt) / 2
 
 
+def test_tables_of_nodes_are_not_broadcast(spark):
+    from murmuration.sources.scratch import Scratch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    network, plans, scratch = Network.create(edges.select(F.col("src").alias("id")), edges, True), [], Scratch(spark, "test")
+
+    def keep(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.write(df, f"{name}-{len(plans)}")
+
+    graphs.connected_components(network, keep)
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+    graphs.near_parts(network, 2, keep)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 # --- rasters ---
 
 POINT = "x long, y long, z long"
