@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
@@ -13,6 +13,8 @@ from .population import UID
 ENDS = ["src", "dst"]
 #: Rows, counted before, up to which a table is broadcast to the links.
 FEW = 100_000
+#: Rows that one task gets of a table dealt out by size.
+PART_ROWS = 500_000
 
 
 def shuffled(df: DataFrame) -> DataFrame:
@@ -20,6 +22,16 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Parts of PART_ROWS rows at most on average, and no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """df dealt out by keys to so many tasks, which adaptive execution does not merge; without parts, df as it is."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """df as a side of a join, broadcast if its rows, counted before, are few."""
     return F.broadcast(df) if rows <= FEW else shuffled(df)
@@ -34,11 +46,16 @@ def _ordered(df: DataFrame, directed: bool) -> DataFrame:
 
 @dataclass(frozen=True)
 class Network:
-    """nodes(id, ...) and edges(src, dst, attribute columns), one row for each edge."""
+    """nodes(id, ...) and edges(src, dst, attribute columns), one row for each edge.
+
+    parts: where edges are dealt out by both ends to so many tasks, new ones are too, so that what a task holds is set by the
+    number of edges and not by the session's number of partitions.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     directed: bool = False
+    parts: int | None = None
 
     @classmethod
     def create(cls, nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Network:
@@ -51,6 +68,10 @@ class Network:
         new = ends.join(shuffled(self.nodes.select("id")), "id", "left_anti")
         return replace(self, nodes=self.nodes.unionByName(new, allowMissingColumns=True), edges=edges)
 
+    def with_ends(self) -> Network:
+        """With the nodes that only edges name; for edges that are in canonical form and not repeated."""
+        return self._with_ends(self.edges)
+
     @property
     def attributes(self) -> list[str]:
         return [c for c in self.edges.columns if c not in ENDS]
@@ -94,7 +115,7 @@ class Network:
             last = [F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col(order))).alias(a) for a in self.attributes if a in new.columns]
         else:
             last = [F.max(a).alias(a) for a in self.attributes if a in new.columns]
-        new = new.groupBy(*ENDS).agg(F.count("*").alias("_n"), *last).drop("_n")
+        new = dealt(new, self.parts, *ENDS).groupBy(*ENDS).agg(F.count("*").alias("_n"), *last).drop("_n")
         both = self.edges.join(new.select(*ENDS, *(F.col(a).alias(f"new_{a}") for a in new.columns if a not in ENDS)), ENDS, "full")
         merged = [F.coalesce(f"new_{a}", a).alias(a) if f"new_{a}" in both.columns else F.col(a) for a in self.attributes]
         return self._with_ends(both.select(*ENDS, *merged))

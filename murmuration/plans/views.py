@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BorderType, BoundingBox, Tiling
-from ..operators.network import Network
+from ..operators.network import Network, dealt, parts_for, shuffled
 from ..operators.population import UID, Population, agent_rows
 from ..operators.raster import ValueLayer
 from ..operators.space import Space
@@ -64,9 +64,13 @@ class Views:
     def bipartite(self) -> Network:
         """Customers and the suppliers of their orders; w counts the lines. Suppliers' ids are negative."""
         orders, lines = self.table("orders").select("o_orderkey", "o_custkey"), self.table("lineitem").select("l_orderkey", "l_suppkey")
-        pairs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("w"))
-        edges = pairs.select(F.col("o_custkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), "w")
-        return Network.create(self.nodes(), edges, False)
+        parts = parts_for(self.spark, lines.count())
+        lines = dealt(orders, parts, "o_orderkey").join(shuffled(dealt(lines, parts, "l_orderkey")), F.col("o_orderkey") == F.col("l_orderkey"))
+        customer, supplier = F.col("o_custkey"), -F.col("l_suppkey") - 1
+        ends = lines.select(F.least(customer, supplier).alias("src"), F.greatest(customer, supplier).alias("dst"))
+        # canonical and without repeats, as Network.create() would make them
+        edges = dealt(ends, parts, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+        return Network(self.nodes(), edges, False, parts).with_ends()
 
     def nodes(self) -> DataFrame:
         return self.agents().select(F.when(F.col("type") == 0, F.col("id")).otherwise(-F.col("id") - 1).alias("id"), "type")

@@ -217,6 +217,36 @@ def test_graph_algorithms(spark):
     assert cut(parts) < cut(dealt) / 2
 
 
+def test_edges_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    from murmuration.plans.catalog import QUERIES
+
+    monkeypatch.setattr("murmuration.operators.network.PART_ROWS", 100, raising=False)
+    n = F.col("id")
+    tables = {
+        "customer": spark.range(40).select(n.alias("c_custkey")),
+        "supplier": spark.range(10).select(n.alias("s_suppkey")),
+        "orders": spark.range(500).select(n.alias("o_orderkey"), (n * 7 % 40).alias("o_custkey")),
+        "lineitem": spark.range(2000).select((n % 500).alias("l_orderkey"), (n * 3 % 11 % 10).alias("l_suppkey")),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    w = {}
+    for k in range(2000):
+        pair = (-(k * 3 % 11 % 10) - 1, k % 500 * 7 % 40)
+        w[pair] = w.get(pair, 0) + 1
+    for (s, c), lines in [*w.items()]:
+        if c % 5 < 2:
+            w[(s if c % 2 == 0 else s - 500_000, c)] = lines + 1000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        edges = QUERIES["net_add_edge"](spark, str(tmp_path))
+        assert edges.rdd.getNumPartitions() == 20
+        assert {(r.src, r.dst): r.w for r in edges.collect()} == w
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_tables_of_nodes_are_not_broadcast(spark):
     from murmuration.sources.scratch import Scratch
 
