@@ -178,7 +178,7 @@ def _(v: Views):
     """A graph file written to the shared folder and read from it: header, nodes with types, edges with attributes."""
     net, path = v.bipartite(), f"{Scratch(v.spark, 'graph').root}/file"
     edges = net.edges.select("src", "dst", F.create_map(F.lit("weight"), F.col("w").cast("string")).alias("attrs"))
-    write_network("orders", Network(v.nodes().select("id", "type"), edges), path, 3)
+    write_network("orders", Network(v.nodes().select("id", "type"), edges, parts=net.parts), path, 3)
     name, back = read_network(v.spark, path, lambda nodes: nodes.select("id", F.col("type").alias("kind")))
     both = back.edges.join(back.nodes, F.col("src") == F.col("id"))
     return both.select(F.lit(name).alias("name"), F.lit(back.directed).alias("directed"), F.col("src").alias("u"), F.col("dst").alias("v"), F.element_at("attrs", "weight").alias("weight"), F.col("kind").alias("src_type"))

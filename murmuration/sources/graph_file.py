@@ -133,4 +133,6 @@ def write_network(name: str, network: Network, path: str, n_ranks: int, method:
     else:
         raise ValueError(f"no partition method {method!r}")
     lines = network_lines(name, network, parts)
-    lines.orderBy("section", "a", "b").select("line").write.text(path)
+    keys = ["section", "a", "b"]
+    ordered = lines.repartitionByRange(network.parts, *keys).sortWithinPartitions(*keys) if network.parts else lines.orderBy(*keys)
+    ordered.select("line").write.text(path)
